@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import line_rules
+from tidelog.llm import licenses, line_rules, mixing, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_query(_documents(spark, sf_dir))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_query(_documents(spark, sf_dir))
 
 
+def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses_query(_documents(spark, sf_dir))
+
+
+def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_query(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_rules,)}
+    return {f.__name__: f for f in (op1_secret_ownership, op4_line_rules, op7_license_sentences, op9_entropy_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
