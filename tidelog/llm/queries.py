@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import licenses, line_rules, mixing, secrets
+from tidelog.llm import bpe, langid, licenses, line_rules, media, mixing, secrets, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,20 +17,43 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(_documents(spark, sf_dir))
 
 
+def op3_png_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_query(_documents(spark, sf_dir))
+
+
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_query(_documents(spark, sf_dir))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_query(_documents(spark, sf_dir))
 
 
+def op8_word_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.langid_query(_documents(spark, sf_dir))
+
+
 def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(_documents(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of op10, which every node has where its package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_query(_documents(spark, sf_dir), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_ownership, op4_line_rules, op7_license_sentences, op9_entropy_mixing)}
+    return {f.__name__: f for f in (op1_secret_ownership, op3_png_cosine, op4_line_rules, op6_kneser_ney, op7_license_sentences, op8_word_first, op9_entropy_mixing, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
