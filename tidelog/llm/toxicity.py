@@ -4,7 +4,8 @@ Each class has an interpolated Kneser-Ney bigram model: discounted bigram counts
 continuation counts (how many words a word follows) of the class, then the continuation counts of both
 classes together, so that an expression that is rare in either backs off to the same shared estimate
 and says nothing. A document's feature is the difference of the two log-likelihoods by its length,
-and a logistic curve, fitted on training rows that the models did not see, turns it into a score.
+and a logistic curve, fitted on training rows that the models did not see, turns it into a score. The curve also sees
+the same difference over the document's most toxic passage of five words.
 
 The models are fitted on at most about ``quota`` labelled rows of each class (whole texts) and are
 broadcast as sorted arrays; scoring is one pass in Arrow batches.
@@ -29,7 +30,8 @@ from tidelog.llm.samples import remainder, sample_by_label
 from tidelog.llm.words import coded, hashes, joined, pieces, plain
 
 START = np.uint64(0x5D0C)
-DISCOUNT = 0.75
+DISCOUNT = 3.0  # what fewer than three places support is left to the shared counts
+WINDOW = 5
 
 
 def bare(words: pa.Array) -> pa.Array:
@@ -76,50 +78,57 @@ class KneserNey:
 
     pairs: Table
     context: Table  # tokens after a context
-    kinds: Table  # distinct words after a context
+    freed: Table  # what discounting takes from them
     follows: Table  # distinct contexts before a word
-    n_pairs: float
     shared: Table
-    n_shared: float
 
     @classmethod
-    def parts(cls, h: np.ndarray, offsets: np.ndarray) -> tuple:
+    def of(cls, h: np.ndarray, offsets: np.ndarray) -> tuple[KneserNey, np.ndarray, np.ndarray]:
+        """The model, still without shared counts; its distinct pairs and their words."""
         v = contexts(h, offsets)
-        key, first = np.unique(joined(v, h), return_index=True)
-        return Table.of(joined(v, h)), Table.of(v), Table.of(v[first]), Table.of(h[first]), float(len(key)), h[first], key
+        key, first, counts = np.unique(joined(v, h), return_index=True, return_counts=True)
+        after, at = np.unique(v[first], return_inverse=True)
+        freed = np.bincount(at, np.minimum(counts, DISCOUNT), len(after))
+        return cls(Table(key, counts.astype(float)), Table.of(v), Table(after, freed), Table.of(h[first]), Table.of(h[:0])), key, h[first]
 
     def log(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        n = len(self.shared.keys)
-        base = (self.shared.get(w) + 0.5) / (self.n_shared + 0.5 * (n + 1))
-        total = max(self.n_pairs, 1.0)
-        low = np.maximum(self.follows.get(w) - DISCOUNT, 0) / total + DISCOUNT * len(self.follows.keys) / total * base if self.n_pairs else base
+        base = (self.shared.get(w) + 0.5) / (self.shared.counts.sum() + 0.5 * (len(self.shared.keys) + 1))
+        total = self.follows.counts.sum()
+        low = (np.maximum(self.follows.get(w) - DISCOUNT, 0) + np.minimum(self.follows.counts, DISCOUNT).sum() * base) / total if total else base
         c = self.context.get(v)
-        high = (np.maximum(self.pairs.get(joined(v, w)) - DISCOUNT, 0) + DISCOUNT * self.kinds.get(v) * low) / np.maximum(c, 1)
+        high = (np.maximum(self.pairs.get(joined(v, w)) - DISCOUNT, 0) + self.freed.get(v) * low) / np.maximum(c, 1)
         return np.log(np.where(c > 0, high, low))
 
 
 def fit_models(texts: list[str], toxic: np.ndarray) -> tuple[KneserNey, KneserNey]:
     made = []
     for label in (1, 0):
-        h, offsets = tokens(plain(pa.array([t for t, y in zip(texts, toxic, strict=True) if y == label], pa.string())))
-        made.append(KneserNey.parts(h, offsets))
-    both = np.unique(np.concatenate([m[6] for m in made]), return_index=True)[1]
-    words = np.concatenate([m[5] for m in made])[both]
-    shared = Table.of(words)
-    return tuple(KneserNey(*m[:5], shared, float(len(words))) for m in made)
+        own = sorted({t for t, y in zip(texts, toxic, strict=True) if y == label})  # a copied text counts once
+        made.append(KneserNey.of(*tokens(plain(pa.array(own, pa.string())))))
+    both = np.unique(np.concatenate([m[1] for m in made]), return_index=True)[1]
+    shared = Table.of(np.concatenate([m[2] for m in made])[both])
+    for m in made:
+        m[0].shared = shared
+    return made[0][0], made[1][0]
 
 
 def features(models: tuple[KneserNey, KneserNey], texts: pa.Array) -> np.ndarray:
-    """Two columns: the log-likelihood ratio by length, and by its square root."""
+    """Three columns: the log-likelihood ratio by length, by its square root, and of the most toxic passage by length."""
     h, offsets = tokens(texts)
     n = np.diff(offsets)
     if not len(h):
-        return np.zeros((len(n), 2))
+        return np.zeros((len(n), 3))
     v = contexts(h, offsets)
     ratio = np.append(0.0, np.cumsum(models[0].log(v, h) - models[1].log(v, h)))
     total = np.round(ratio[offsets[1:]] - ratio[offsets[:-1]], 6)
+    # the passage of WINDOW words that ends at each word, or of as many as there are
+    owner = np.repeat(np.arange(len(n)), n)
+    end = np.arange(len(h))
+    start = np.maximum(end - WINDOW + 1, offsets[:-1][owner])
+    passage = np.append(np.round((ratio[end + 1] - ratio[start]) / WINDOW, 6), 0.0)
+    most = np.where(n > 0, np.maximum.reduceat(passage, offsets[:-1]), 0.0)
     long = np.maximum(n, 1)
-    return np.stack([total / long, total / np.sqrt(long)], axis=1)
+    return np.stack([total / long, total / np.sqrt(long), most], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -152,12 +161,12 @@ def fit(texts: list[str], toxic: np.ndarray, folds: int = 4) -> Scorer:
     """Fit the curve on features of rows left out of the models in turn, then the models on all rows."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if toxic.sum() < 2 or (toxic == 0).sum() < 2:
-        return Scorer(None, np.zeros(3), share)
+        return Scorer(None, np.zeros(4), share)
     fold = np.empty(len(toxic), int)
     for label in (0, 1):  # each fold has rows of both
         own = np.flatnonzero(toxic == label)
         fold[own] = np.arange(len(own)) % folds
-    x = np.zeros((len(toxic), 2))
+    x = np.zeros((len(toxic), 3))
     for k in range(folds):
         out = np.flatnonzero(fold == k)
         if len(out):
