@@ -5,10 +5,10 @@ continuation counts (how many words a word follows) of the class, then the conti
 classes together, so that an expression that is rare in either backs off to the same shared estimate
 and says nothing. A document's feature is the difference of the two log-likelihoods by its length,
 and a logistic curve, fitted on training rows that the models did not see, turns it into a score. The curve also sees
-the same difference over the document's most toxic passage of five words.
+the same difference over the document's most toxic pair of words.
 
-The models are fitted on at most about ``quota`` labelled rows of each class (whole texts) and are
-broadcast as sorted arrays; scoring is one pass in Arrow batches.
+The models are fitted on a bounded sample of labelled rows (by default about 1,200 toxic and 4,800
+ordinary ones at most, whole texts) and are broadcast as sorted arrays; scoring is one pass in Arrow batches.
 
 Defined cases: null and empty texts have feature 0 and get the score that the curve gives there;
 without training rows of both classes every score is the share of toxic rows (0 without rows);
@@ -30,8 +30,9 @@ from tidelog.llm.samples import remainder, sample_by_label
 from tidelog.llm.words import coded, hashes, joined, pieces, plain
 
 START = np.uint64(0x5D0C)
-DISCOUNT = 3.0  # what fewer than three places support is left to the shared counts
-WINDOW = 5
+PAIR_DISCOUNT = 20.0  # an expression in fewer texts of a class is left to its last word
+DISCOUNT = 2.0  # a word after fewer others is left to the shared counts
+WINDOW = 2
 
 
 def bare(words: pa.Array) -> pa.Array:
@@ -86,9 +87,12 @@ class KneserNey:
     def of(cls, h: np.ndarray, offsets: np.ndarray) -> tuple[KneserNey, np.ndarray, np.ndarray]:
         """The model, still without shared counts; its distinct pairs and their words."""
         v = contexts(h, offsets)
+        owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+        once = np.unique(joined(owner, v, h), return_index=True)[1]  # a text that repeats itself counts a pair once
+        v, h = v[once], h[once]
         key, first, counts = np.unique(joined(v, h), return_index=True, return_counts=True)
         after, at = np.unique(v[first], return_inverse=True)
-        freed = np.bincount(at, np.minimum(counts, DISCOUNT), len(after))
+        freed = np.bincount(at, np.minimum(counts, PAIR_DISCOUNT), len(after))
         return cls(Table(key, counts.astype(float)), Table.of(v), Table(after, freed), Table.of(h[first]), Table.of(h[:0])), key, h[first]
 
     def log(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -96,7 +100,7 @@ class KneserNey:
         total = self.follows.counts.sum()
         low = (np.maximum(self.follows.get(w) - DISCOUNT, 0) + np.minimum(self.follows.counts, DISCOUNT).sum() * base) / total if total else base
         c = self.context.get(v)
-        high = (np.maximum(self.pairs.get(joined(v, w)) - DISCOUNT, 0) + self.freed.get(v) * low) / np.maximum(c, 1)
+        high = (np.maximum(self.pairs.get(joined(v, w)) - PAIR_DISCOUNT, 0) + self.freed.get(v) * low) / np.maximum(c, 1)
         return np.log(np.where(c > 0, high, low))
 
 
@@ -189,17 +193,17 @@ def predict(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text: str =
     return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(run, f"id {kind}, score double, predicted int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, quota: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most about ``quota`` training rows a class."""
+def training_rows(docs: DataFrame, labels: DataFrame, quota: dict[int, int]) -> DataFrame:
+    """(doc_id, text, toxic) of at most about ``quota`` training rows of each class."""
     usable = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    # the chosen ids are at most 4 * quota rows
+    # the chosen ids are at most twice the quotas' sum
     chosen = sample_by_label(usable, "toxic", F.col("doc_id"), quota)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def toxicity_query(docs: DataFrame, labels: DataFrame, quota: int = 1500) -> DataFrame:
+def toxicity_query(docs: DataFrame, labels: DataFrame, toxic: int = 1200, ordinary: int = 4800) -> DataFrame:
     """The digest of op6."""
-    rows = sorted(((r.doc_id, r.text or "", r.toxic) for r in training_rows(docs, labels, quota).toLocalIterator()), key=lambda r: r[:2])
+    rows = sorted(((r.doc_id, r.text or "", r.toxic) for r in training_rows(docs, labels, {1: toxic, 0: ordinary}).toLocalIterator()), key=lambda r: r[:2])
     scorer = fit([r[1] for r in rows], np.array([r[2] for r in rows], float))
     out = predict(docs.select("doc_id", "text"), scorer)
     return out.select(F.col("id").alias("doc_id"), (remainder(F.col("id"), 4) == 2).alias("held_out"), "score", "predicted")
