@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, langid, licenses, line_rules, media, mixing, secrets, toxicity
+from tidelog.llm import bpe, langid, licenses, line_rules, media, mixing, ngram_join, secrets, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_query(_documents(spark, sf_dir))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_query(_documents(spark, sf_dir))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -53,7 +57,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_ownership, op3_png_cosine, op4_line_rules, op6_kneser_ney, op7_license_sentences, op8_word_first, op9_entropy_mixing, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_secret_ownership, op3_png_cosine, op4_line_rules, op5_ngram_jaccard, op6_kneser_ney, op7_license_sentences, op8_word_first, op9_entropy_mixing, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
