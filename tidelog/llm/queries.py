@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, langid, licenses, line_rules, media, mixing, ngram_join, secrets, toxicity
+from tidelog.llm import bpe, interpolation, langid, licenses, line_rules, media, mixing, ngram_join, secrets, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(_documents(spark, sf_dir))
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.interpolation_query(_documents(spark, sf_dir))
+
+
 def op3_png_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_query(_documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_ownership, op3_png_cosine, op4_line_rules, op5_ngram_jaccard, op6_kneser_ney, op7_license_sentences, op8_word_first, op9_entropy_mixing, op10_bpe_tree)}
+    return {f.__name__: f for f in (op1_secret_ownership, op2_deleted_interpolation, op3_png_cosine, op4_line_rules, op5_ngram_jaccard, op6_kneser_ney, op7_license_sentences, op8_word_first, op9_entropy_mixing, op10_bpe_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
