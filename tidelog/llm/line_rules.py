@@ -105,6 +105,16 @@ def line_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "tex
     return out.select("row", q.alias("q"))
 
 
+def kept_rows(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
+    """``row`` and ``q`` of the documents that stay.
+
+    A filter would be moved below the projections, which repeats their expressions in it many times
+    over; a column that depends on the row's place keeps it above them.
+    """
+    placed = line_rules(docs, rules, text).select("row", "q", F.monotonically_increasing_id().alias("place"))
+    return placed.where(F.col("q.kept") & (F.col("place") >= 0)).select("row", "q")
+
+
 def quality_query(docs: DataFrame) -> DataFrame:
     """The digest of op4: counts and verdicts per document."""
     return line_rules(docs.select("doc_id", "text"), clean=False).select("row.doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines")])

@@ -140,7 +140,7 @@ def row_hash(docs: DataFrame) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    made = decide(docs, [], mix, text, source).groupBy("h").agg(F.count("*").alias("_m"), F.sum("copies").alias("_c")).where(F.col("_c") > 0)
+    made = decide(docs, [source], mix, text, source).groupBy("h").agg(F.count("*").alias("_m"), F.sum("copies").alias("_c")).where(F.col("_c") > 0)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("h"))
     # equal rows share what they were given: the k-th of m takes c div m, and one more while k < c mod m
     joined = keyed.join(made, "h").withColumn("k", F.when(F.col("_m") > 1, F.row_number().over(Window.partitionBy("h").orderBy("h")) - 1).otherwise(0))

@@ -29,6 +29,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 PATTERNS = (("assign", ASSIGN, 1, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
+MARKS = ("<secret>", "<copied-secret>")
 KINDS = ("assign", "access", "hex", "owned")
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|password|secret|your|test|xxxx|1234567890|abcdef)"
 
@@ -111,6 +112,31 @@ def scan(docs: DataFrame, owner: Column, repository: Column, rule: Ownership = O
     return with_owned.unionByName(base.where(F.size("base") == 0).select("row", "base", empty.alias("owned")))
 
 
+def redacted(docs: DataFrame, owner: Column, repository: Column, rule: Ownership = Ownership(), text: str = "text") -> DataFrame:
+    """``row``, a struct of the columns of ``docs``, and ``clean_text``, in which marks stand for the values found.
+
+    Values of a single owner and copied ones have marks of their own. Only rows with candidates meet
+    in an exchange; all others pass through.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    read = docs.select(F.struct(*cols).alias("row"), F.xxhash64(*cols).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), owner.alias("owner"), repository.alias("repository"))
+    found = scan(read.select("h", "text", "owner", "repository"), F.col("owner"), F.col("repository"), rule)
+    spans = found.where(F.size("base") > 0).select("row.h", "base", "owned").dropDuplicates(["h"])
+    any_ = F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
+    some = read.where(any_).join(spans, "h", "left")
+    ranges = F.sort_array(F.array_distinct(F.transform(F.coalesce("base", F.array().cast("array<struct<s:bigint,k:int,e:bigint,v:string>>")), lambda x: F.struct((x["e"] - F.length(x["v"])).alias("s"), x["e"].alias("e")))))
+    piece = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
+
+    def step(acc: Column, x: Column) -> Column:
+        mark = F.when(F.exists(F.col("owned"), lambda o: (o["s"] == x["s"]) & (o["e"] == x["e"])), F.lit(MARKS[0])).otherwise(F.lit(MARKS[1]))
+        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], piece(acc["at"], x["s"] - acc["at"]), mark)).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+
+    walked = F.aggregate("ranges", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step)
+    clean = some.withColumn("ranges", ranges).withColumn("w", walked).select("row", F.concat("w.out", piece(F.col("w.at"), F.length("text") - F.col("w.at"))).alias("clean_text"))
+    return clean.unionByName(read.where(~any_).select("row", F.col(f"row.`{text}`").alias("clean_text")))
+
+
 def secrets_query(docs: DataFrame) -> DataFrame:
     """The digest of op1. A document's source is its owner; each language of a source is a repository."""
     found = scan(docs.select("doc_id", "source", "lang", "text"), F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
