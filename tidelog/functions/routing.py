@@ -10,7 +10,7 @@ FNV_BASIS, FNV_PRIME, FNV_MASK = 2166136261, 16777619, 4294967295
 
 
 def fnv1a32(b: Column | str) -> Column:
-    """FNV-1a over bytes, as a non-negative BIGINT."""
+    """FNV-1a over bytes, as a non-negative BIGINT; null bytes are none."""
     b = F.col(b) if isinstance(b, str) else b
     digits = F.hex(b)
     byte = lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")

@@ -46,13 +46,21 @@ def events(spark: SparkSession, d: str, partitions: int = 1) -> DataFrame:
     )
 
 
-TYPE = model.text(model.header("event-type"))
-USER = model.text("key").cast("long")
-NUMBER = F.regexp_extract(model.text("value"), r"(-?\d+)", 1).cast("long")
+def kind() -> Column:
+    return model.text(model.header("event-type"))
+
+
+def user() -> Column:
+    return model.text("key").cast("long")
+
+
+def number() -> Column:
+    return F.regexp_extract(model.text("value"), r"(-?\d+)", 1).cast("long")
+
 
 
 def is_type(name: str) -> Column:
-    return TYPE == name
+    return kind() == name
 
 
 def stream(spark: SparkSession, d: str, partitions: int = 1) -> Stream:
@@ -73,17 +81,17 @@ def with_e(sql: str) -> str:
 # -- one record at a time
 @query(with_e("SELECT off, user_id FROM e WHERE event_type = 'purchase'"))
 def filter(spark, d):
-    return view(stream(spark, d).filter(is_type("purchase")).df, off="offset", user_id=USER)
+    return view(stream(spark, d).filter(is_type("purchase")).df, off="offset", user_id=user())
 
 
 @query(with_e("SELECT off, user_id FROM e WHERE event_type <> 'view'"))
 def filter_not(spark, d):
-    return view(stream(spark, d).filter_not(is_type("view")).df, off="offset", user_id=USER)
+    return view(stream(spark, d).filter_not(is_type("view")).df, off="offset", user_id=user())
 
 
 @query(with_e("SELECT off + 1000 AS off, 'u' || user_id AS k, upper(event_type) AS v FROM e"))
 def map(spark, d):
-    s = stream(spark, d).map({"offset": F.col("offset") + 1000, "key": F.concat(F.lit(b"u"), "key"), "value": F.encode(F.upper(TYPE), "UTF-8")})
+    s = stream(spark, d).map({"offset": F.col("offset") + 1000, "key": F.concat(F.lit(b"u"), "key"), "value": F.encode(F.upper(kind()), "UTF-8")})
     return view(s.df, off="offset", k=model.text("key"), v=model.text("value"))
 
 
@@ -104,13 +112,13 @@ def select_key(spark, d):
 
 @query(with_e("SELECT off, unnest(string_split(event_type, 'i')) AS v FROM e"))
 def flat_map(spark, d):
-    parts = F.transform(F.split(TYPE, "i", -1), lambda x: F.encode(x, "UTF-8"))
+    parts = F.transform(F.split(kind(), "i", -1), lambda x: F.encode(x, "UTF-8"))
     return view(stream(spark, d).flat_map(parts).df, off="offset", v=model.text("value"))
 
 
 @query(with_e("SELECT off, CASE WHEN event_type = 'purchase' THEN 'buyers' WHEN user_id % 2 = 0 THEN 'even' END AS branch FROM e WHERE event_type = 'purchase' OR user_id % 2 = 0"))
 def branch(spark, d):
-    a, b = stream(spark, d).branch(is_type("purchase"), USER % 2 == 0)
+    a, b = stream(spark, d).branch(is_type("purchase"), user() % 2 == 0)
     return view(a.df, off="offset", branch=F.lit("buyers")).unionByName(view(b.df, off="offset", branch=F.lit("even")))
 
 
@@ -137,13 +145,13 @@ def router_match_any(spark, d):
 
 @query(with_e("SELECT off, upper(event_type) AS v FROM e WHERE user_id % 3 <> 0"))
 def transform_drop(spark, d):
-    return view(stream(spark, d).transform({"value": F.encode(F.upper(TYPE), "UTF-8")}, keep=USER % 3 != 0).df, off="offset", v=model.text("value"))
+    return view(stream(spark, d).transform({"value": F.encode(F.upper(kind()), "UTF-8")}, keep=user() % 3 != 0).df, off="offset", v=model.text("value"))
 
 
 @query(with_e("SELECT off, CASE WHEN num % 10 <> 0 THEN 'ok' ELSE 'dead' END AS state, CASE WHEN num % 10 <> 0 THEN CAST(100 // (num % 10) AS VARCHAR) ELSE 'no tenth of ' || num END AS v FROM e"))
 def dead_letters(spark, d):
     top = Topology({"events": events(spark, d)})
-    s = top.stream("events").attempt(F.encode(F.floor(100 / F.nullif(NUMBER % 10, F.lit(0))).cast("string"), "UTF-8"), F.concat(F.lit("no tenth of "), NUMBER.cast("string")))
+    s = top.stream("events").attempt(F.encode(F.floor(100 / F.nullif(number() % 10, F.lit(0))).cast("string"), "UTF-8"), F.concat(F.lit("no tenth of "), number().cast("string")))
     s.to("ok")
     out = top.run()
     return view(out["ok"], off="offset", state=F.lit("ok"), v=model.text("value")).unionByName(view(out["dead_letters"], off="offset", state=F.lit("dead"), v=model.text(model.header(model.ERROR))))
@@ -180,7 +188,7 @@ def sample_nth(spark, d):
 
 @query(with_e("SELECT user_id, min(off) AS off FROM e GROUP BY user_id"))
 def distinct_first(spark, d):
-    return view(stream(spark, d).distinct().df, user_id=USER, off="offset")
+    return view(stream(spark, d).distinct().df, user_id=user(), off="offset")
 
 
 @query()
@@ -192,13 +200,13 @@ def throttle(spark, d):
 
 @query(with_e("""SELECT off FROM (SELECT off, (off * 7919) % 1000 AS seq, max((off * 7919) % 1000) OVER (PARTITION BY event_type ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM e) WHERE m IS NULL OR seq > m"""))
 def idempotent_dedup(spark, d):
-    return view(ordered.idempotent(events(spark, d), TYPE, (F.col("offset") * 7919) % 1000, ("offset",)), off="offset")
+    return view(ordered.idempotent(events(spark, d), kind(), (F.col("offset") * 7919) % 1000, ("offset",)), off="offset")
 
 
 # -- keyed aggregation
 @query(with_e("SELECT user_id, count(*) AS n FROM e WHERE event_type = 'purchase' GROUP BY user_id"))
 def group_count(spark, d):
-    return view(stream(spark, d).filter(is_type("purchase")).group_by_key().final("count"), user_id=USER, n="agg")
+    return view(stream(spark, d).filter(is_type("purchase")).group_by_key().final("count"), user_id=user(), n="agg")
 
 
 @query(with_e("SELECT off, count(*) OVER (PARTITION BY user_id ORDER BY off ROWS UNBOUNDED PRECEDING) AS n FROM e"))
@@ -208,27 +216,27 @@ def running_count(spark, d):
 
 @query(with_e("SELECT off, CAST(sum(num) OVER (PARTITION BY event_type ORDER BY off ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM e"))
 def running_sum(spark, d):
-    return view(stream(spark, d).group_by(model.header("event-type")).sum(NUMBER, stretch=20_000).df, off="offset", s="agg")
+    return view(stream(spark, d).group_by(model.header("event-type")).sum(number(), stretch=20_000).df, off="offset", s="agg")
 
 
 @query(with_e("SELECT off, max(num) OVER (PARTITION BY user_id ORDER BY off ROWS UNBOUNDED PRECEDING) AS m FROM e"))
 def reduce_max(spark, d):
-    return view(stream(spark, d).group_by_key().max(NUMBER).df, off="offset", m="agg")
+    return view(stream(spark, d).group_by_key().max(number()).df, off="offset", m="agg")
 
 
 @query(with_e("SELECT user_id, string_agg(event_type, '|' ORDER BY off) AS v FROM e GROUP BY user_id"))
 def reduce_concat(spark, d):
-    return view(stream(spark, d).group_by_key().final_reduce(TYPE, lambda a, b: F.concat(a, F.lit("|"), b)), user_id=USER, v="agg")
+    return view(stream(spark, d).group_by_key().final_reduce(kind(), lambda a, b: F.concat(a, F.lit("|"), b)), user_id=user(), v="agg")
 
 
 @query(with_e("SELECT user_id, CAST(sum(num * num) + 7 AS BIGINT) AS v FROM e GROUP BY user_id"))
 def aggregate_fold(spark, d):
-    return view(stream(spark, d).group_by_key().aggregate(NUMBER, F.lit(7).cast("long"), lambda a, x: a + x * x), user_id=USER, v="agg")
+    return view(stream(spark, d).group_by_key().aggregate(number(), F.lit(7).cast("long"), lambda a, x: a + x * x), user_id=user(), v="agg")
 
 
 @query(with_e("SELECT event_type, CAST(sum(num) AS BIGINT) AS s FROM e GROUP BY event_type"))
 def final_sum(spark, d):
-    return view(stream(spark, d).group_by(model.header("event-type")).final("sum", NUMBER), event_type=model.text("key"), s="agg")
+    return view(stream(spark, d).group_by(model.header("event-type")).final("sum", number()), event_type=model.text("key"), s="agg")
 
 
 @query(with_e("SELECT off % 4 AS part, user_id, count(*) AS n FROM e GROUP BY ALL"))
@@ -240,24 +248,24 @@ def partition_scoped_count(spark, d):
 
 @query(with_e("SELECT user_id, off, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off DESC) AS r FROM e) WHERE r = 1"))
 def ktable_latest(spark, d):
-    return view(Topology({"events": events(spark, d)}, ("offset",)).table("events").final(), user_id=USER, off="offset", event_type=TYPE)
+    return view(Topology({"events": events(spark, d)}, ("offset",)).table("events").final(), user_id=user(), off="offset", event_type=kind())
 
 
 @query(with_e("SELECT user_id, off FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off DESC) AS r FROM e) WHERE r = 1 AND event_type <> 'error'"))
 def ktable_tombstone(spark, d):
     df = events(spark, d).withColumn("value", F.when(~is_type("error"), F.col("value")))
-    return view(Topology({"events": df}, ("offset",)).table("events").final(), user_id=USER, off="offset")
+    return view(Topology({"events": df}, ("offset",)).table("events").final(), user_id=user(), off="offset")
 
 
 @query(with_e("SELECT off, event_type FROM e WHERE user_id = 7 ORDER BY off DESC LIMIT 1"))
 def ktable_get(spark, d):
-    return view(Topology({"events": events(spark, d)}, ("offset",)).table("events").get(b"7"), off="offset", event_type=TYPE)
+    return view(Topology({"events": events(spark, d)}, ("offset",)).table("events").get(b"7"), off="offset", event_type=kind())
 
 
 # -- windows
 @query(with_e(f"SELECT user_id, ts_ns // {HOUR} * {HOUR} AS start_ns, (ts_ns // {HOUR} + 1) * {HOUR} AS end_ns, count(*) AS n FROM e GROUP BY ALL"))
 def tumbling_count(spark, d):
-    return view(stream(spark, d).group_by_key().tumbling(HOUR), user_id=USER, start_ns="window_start_ns", end_ns="window_end_ns", n="count")
+    return view(stream(spark, d).group_by_key().tumbling(HOUR), user_id=user(), start_ns="window_start_ns", end_ns="window_end_ns", n="count")
 
 
 @query(with_e(f"SELECT event_type, w AS start_ns, count(*) AS n FROM e, unnest(range((ts_ns // {HOUR} - 2) * {HOUR}, (ts_ns // {HOUR} + 1) * {HOUR}, {HOUR})) AS t(w) WHERE w > ts_ns - {3 * HOUR} AND w <= ts_ns GROUP BY ALL"))
@@ -267,7 +275,7 @@ def hopping_count(spark, d):
 
 @query(with_e(f"SELECT user_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts_ns ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY user_id ORDER BY ts_ns) > {6 * HOUR} THEN 1 ELSE 0 END AS new FROM e)) GROUP BY user_id, s"))
 def session_count(spark, d):
-    return view(stream(spark, d).group_by_key().session(6 * HOUR), user_id=USER, start_ns="window_start_ns", end_ns="window_end_ns", n="count")
+    return view(stream(spark, d).group_by_key().session(6 * HOUR), user_id=user(), start_ns="window_start_ns", end_ns="window_end_ns", n="count")
 
 
 SHUFFLED = "SELECT row_number() OVER (ORDER BY off + (off * 7919) % 50, off) - 1 AS i, ts_ns, event_type FROM e"
@@ -428,32 +436,32 @@ def dump_jsonl(spark, d):
 
 @query(with_e("SELECT off, ts_ns, user_id, props AS v, event_type FROM e"))
 def load_jsonl(spark, d):
-    return view(log.load(log.dump(events(spark, d)), "again"), off="offset", ts_ns="ts_ns", user_id=USER, v=model.text("value"), event_type=TYPE)
+    return view(log.load(log.dump(events(spark, d)), "again"), off="offset", ts_ns="ts_ns", user_id=user(), v=model.text("value"), event_type=kind())
 
 
 @query(with_e("SELECT row_number() OVER (ORDER BY off) - 1 AS off, user_id, CAST(99 AS BIGINT) AS ts_ns FROM e WHERE event_type = 'click'"))
 def topic_copy(spark, d):
-    return view(log.copy(events(spark, d).where(is_type("click")), "copy", now_ns=F.lit(99)), off="offset", user_id=USER, ts_ns="ts_ns")
+    return view(log.copy(events(spark, d).where(is_type("click")), "copy", now_ns=F.lit(99)), off="offset", user_id=user(), ts_ns="ts_ns")
 
 
 @query(with_e(f"SELECT user_id, CAST({FNV} % 3 AS INTEGER) AS part, row_number() OVER (PARTITION BY {FNV} % 3 ORDER BY off) - 1 + 100 AS off FROM e"))
 def produce(spark, d):
     rows = events(spark, d).select("key", "value", "headers", "ts_ns", F.col("offset").alias("o"))
     ends = spark.range(3).select(F.lit("out").alias("topic"), F.col("id").cast("int").alias("partition"), F.lit(100).alias("high_water"))
-    return view(log.append("out", rows, 3, ends, ["o"]), user_id=USER, part="partition", off="offset")
+    return view(log.append("out", rows, 3, ends, ["o"]), user_id=user(), part="partition", off="offset")
 
 
 @query(with_e("SELECT off, num AS n, lpad(upper(to_hex(num)), 16, '0') AS hex FROM e"))
 def be64(spark, d):
-    b = model.encode_be64(NUMBER)
+    b = model.encode_be64(number())
     return view(events(spark, d), off="offset", n=model.decode_be64(b), hex=F.hex(b))
 
 
 # -- registry: each event type is a subject whose schemas ask for more or fewer fields
 def schema_events(spark, d):
     e = events(spark, d)
-    text = F.concat(F.lit('{"required":["f'), (NUMBER % 5).cast("string"), F.lit('"]}'))
-    return e.select("offset", TYPE.alias("subject"), F.lit("register").alias("kind"), text.alias("schema"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("level"))
+    text = F.concat(F.lit('{"required":["f'), (number() % 5).cast("string"), F.lit('"]}'))
+    return e.select("offset", kind().alias("subject"), F.lit("register").alias("kind"), text.alias("schema"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("level"))
 
 
 REG = """SELECT event_type AS subject, off, num % 5 AS f FROM (SELECT *, lag(num % 5) OVER (PARTITION BY event_type ORDER BY off) AS p FROM e) WHERE p IS NULL OR p <> num % 5"""
