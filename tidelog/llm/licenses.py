@@ -69,7 +69,7 @@ RULES = (
 )
 
 ANCHOR = "(?i)(licen[cs]e|permission|redistribut|warrant|copyright)"
-BREAK = r"[.!?;:]+(?=\s|$)|[\r\n]+"
+BREAK = r"[.!?;:]+([\x20\x09-\x0D]+|$)|[\r\n]+"
 
 
 def sentence_ids(text: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, interpolation, langid, licenses, line_rules, media, mixing, ngram_join, secrets, toxicity
+from tidelog.llm import bpe, interpolation, langid, licenses, line_rules, media, mixing, ngram_join, secrets, sql, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_ownership": sql.secrets_sql(), "op4_line_rules": sql.lines_sql(), "op7_license_sentences": sql.licenses_sql()}
