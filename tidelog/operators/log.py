@@ -124,6 +124,42 @@ def append(topic: str, rows: DataFrame, partitions: int, ends: DataFrame, order:
     return record(placed.withColumn("_o", offset), topic=F.lit(topic), partition=F.col("_p"), offset=F.col("_o"), ts_ns=F.when(given != 0, given).otherwise(stamp), headers=heads)
 
 
+def append_batch(topic: str, rows: DataFrame, partitions: int, ends: DataFrame, order: Sequence[str], now_ns: Column) -> DataFrame:
+    """The same for a batch that stays together: all rows go to the first row's partition, with contiguous offsets."""
+    first = rows.agg(F.min_by("key", F.struct(*order)).alias("_key")).select(partition_for("_key", partitions, F.lit(0)).alias("_p"))
+    known = ends.where(F.col("topic") == topic).select(F.col("partition").alias("_e"), "high_water")
+    start = first.join(known, F.col("_p") == F.col("_e"), "left").select("_p", F.coalesce("high_water", F.lit(0)).alias("_h"))
+    placed = rows.join(F.broadcast(start), F.lit(True)).withColumn("_o", F.col("_h") + F.row_number().over(Window.orderBy(*order)) - 1)
+    heads = F.col("headers") if "headers" in rows.columns else no_headers()
+    return record(placed, topic=F.lit(topic), partition=F.col("_p"), offset=F.col("_o"), ts_ns=now_ns, headers=heads)
+
+
+def connector_offsets(saved: DataFrame) -> DataFrame:
+    """(connector, task, state): the last of each that a compacted topic of saved source offsets holds.
+
+    Keys are ``connector/task``, values the source's own offset as JSON; a null value forgets.
+    """
+    key = F.decode("key", "UTF-8")
+    last = saved.where(F.octet_length("key") > 0).groupBy("key").agg(F.max_by(F.struct("value"), "offset").alias("r")).where("r.value IS NOT NULL")
+    return last.select(F.substring_index(key, "/", 1).alias("connector"), F.substring_index(key, "/", -1).cast("int").alias("task"), F.decode("r.value", "UTF-8").alias("state"))
+
+
+def metrics(df: DataFrame) -> DataFrame:
+    """Totals over a topic: records, bytes, keys, tombstones, partitions, newest time."""
+    size = (F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
+    return df.agg(F.count("*").alias("records"), F.sum(size).alias("bytes"), F.count_distinct("key").alias("keys"), F.count_if(F.col("value").isNull()).alias("tombstones"), F.count_distinct(*PART).alias("partitions"), F.max("ts_ns").alias("newest_ns"))
+
+
+def allowed(names: DataFrame, scopes: Sequence[str], verb: str) -> DataFrame:
+    """Rows of (topic) that a scope ``verb:name`` or ``verb:prefix*`` grants; the verb may be ``*``."""
+    hit = F.lit(False)
+    for s in scopes:
+        v, _, name = s.partition(":")
+        if v in (verb, "*"):
+            hit = hit | (F.startswith("topic", F.lit(name[:-1])) if name.endswith("*") else F.col("topic") == name)
+    return names.where(hit)
+
+
 def copy(df: DataFrame, to: str, ends: DataFrame | None = None, now_ns: Column | None = None) -> DataFrame:
     """Records of a snapshot on another topic: same partitions, new dense offsets, new times."""
     place = F.row_number().over(Window.partitionBy("partition").orderBy("offset")) - 1

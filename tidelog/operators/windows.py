@@ -91,3 +91,17 @@ def replay(df: DataFrame, size_ns: int, advance_ns: int | None = None, order: st
     chunk = F.when(F.col("_f").isNull() | (F.col("_i") <= F.col("_f")), F.lit(0)).otherwise(closings)
     all_ = F.when(F.col("_f").isNull(), 0).otherwise(F.col("_n") - F.col("_f") - F.coalesce("_own_all", F.lit(0)))
     return out.withColumns({"_chunk": chunk, "_all": all_}).groupBy(*by, F.col("_key").alias("key"), F.col("_w").alias("window_start_ns"), F.col("_chunk").alias("emission")).agg(F.count("*").alias("count"), F.max("_all").alias("_all")).where(F.col("emission") < F.col("_all")).drop("_all")
+
+
+def watermark(df: DataFrame, idle_ns: int | None = None, last_arrival_ns: Column | int | None = None, now_ns: Column | int | None = None) -> DataFrame:
+    """One row: the largest event time; ``now_ns`` where nothing has arrived for ``idle_ns``."""
+    top = F.max("ts_ns")
+    if idle_ns is not None:
+        at, now = (x if isinstance(x, Column) else F.lit(x) for x in (last_arrival_ns, now_ns))
+        top = F.when(now - at >= idle_ns, F.greatest(now, top)).otherwise(top)
+    return df.agg(top.alias("watermark_ns"))
+
+
+def closed(made: DataFrame, at: DataFrame) -> DataFrame:
+    """Windows whose end the watermark has reached."""
+    return made.join(F.broadcast(at.select(F.col("watermark_ns").alias("_wm"))), F.col("window_end_ns") <= F.col("_wm")).drop("_wm")

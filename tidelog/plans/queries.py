@@ -290,6 +290,21 @@ def tumbling_replay(spark, d):
     return view(windows.replay(df, HOUR), event_type=model.text("key"), start_ns="window_start_ns", emission="emission", n="count")
 
 
+@query(with_e(f"""SELECT event_type, w AS start_ns, chunk AS emission, count(*) AS n FROM (
+    SELECT a.event_type, a.w, a.i, (SELECT count(*) FROM p b WHERE b.i < a.i AND b.wm >= a.w + {3 * HOUR} AND b.own <> a.w) AS chunk,
+    (SELECT count(*) FROM p b WHERE b.wm >= a.w + {3 * HOUR} AND b.own <> a.w) AS closings FROM h a) WHERE chunk < closings GROUP BY ALL""").replace(") SELECT event_type", f"), q AS ({SHUFFLED}), p AS (SELECT i, ts_ns, event_type, ts_ns // {HOUR} * {HOUR} AS own, max(ts_ns) OVER (ORDER BY i) AS wm FROM q WHERE i < 1000), h AS (SELECT i, event_type, w FROM p, unnest(range(own - {2 * HOUR}, own + {HOUR}, {HOUR})) AS t(w) WHERE w > ts_ns - {3 * HOUR}) SELECT event_type", 1))
+def hopping_replay(spark, d):
+    moved = ordered.arrival_index(events(spark, d).withColumn("o", F.col("offset") + (F.col("offset") * 7919) % 50), ("o", "offset"), into="i")
+    df = moved.withColumn("offset", F.col("i")).where("i < 1000").withColumn("key", model.header("event-type"))
+    return view(windows.replay(df, 3 * HOUR, HOUR), event_type=model.text("key"), start_ns="window_start_ns", emission="emission", n="count")
+
+
+@query(with_e(f"SELECT user_id, ts_ns // {24 * HOUR} * {24 * HOUR} AS start_ns, count(*) AS n FROM e WHERE (ts_ns // {24 * HOUR} + 1) * {24 * HOUR} <= (SELECT max(ts_ns) FROM e) GROUP BY ALL"))
+def closed_windows(spark, d):
+    made = stream(spark, d).group_by_key().tumbling(24 * HOUR)
+    return view(windows.closed(made, windows.watermark(events(spark, d))), user_id=user(), start_ns="window_start_ns", n="count")
+
+
 # -- joins
 def sides(spark, d):
     e = events(spark, d)
@@ -451,6 +466,31 @@ def produce(spark, d):
     return view(log.append("out", rows, 3, ends, ["o"]), user_id=user(), part="partition", off="offset")
 
 
+@query(with_e(f"SELECT off + 7 AS off, CAST((SELECT arg_min({FNV} % 3, off) FROM e) AS INTEGER) AS part FROM e"))
+def produce_batch(spark, d):
+    rows = events(spark, d).select("key", "value", "headers", F.col("offset").alias("o"))
+    ends = spark.range(3).select(F.lit("out").alias("topic"), F.col("id").cast("int").alias("partition"), F.lit(7).alias("high_water"))
+    return view(log.append_batch("out", rows, 3, ends, ["o"], F.lit(1)), off="offset", part="partition")
+
+
+@query(with_e("SELECT event_type AS connector, CAST(user_id % 3 AS INTEGER) AS task, arg_max(off, off) AS pos FROM e GROUP BY ALL"))
+def connector_offsets(spark, d):
+    key = F.encode(F.concat(kind(), F.lit("/"), (user() % 3).cast("string")), "UTF-8")
+    saved = events(spark, d).withColumns({"key": key, "value": F.encode(F.to_json(F.struct(F.col("offset").alias("pos"))), "UTF-8")})
+    return view(log.connector_offsets(saved), connector="connector", task="task", pos=F.get_json_object("state", "$.pos").cast("long"))
+
+
+@query(with_e("SELECT count(*) AS records, count(DISTINCT user_id) AS keys, CAST(4 AS BIGINT) AS partitions, max(ts_ns) AS newest_ns FROM e"))
+def metrics(spark, d):
+    return view(log.metrics(events(spark, d, 4)), records="records", keys="keys", partitions="partitions", newest_ns="newest_ns")
+
+
+@query("SELECT DISTINCT event_type AS topic FROM events WHERE event_type = 'click' OR starts_with(event_type, 'p')")
+def scope_match(spark, d):
+    names = events(spark, d).select(kind().alias("topic")).distinct()
+    return log.allowed(names, ["read:click", "*:p*", "write:view"], "read")
+
+
 @query(with_e("SELECT off, num AS n, lpad(upper(to_hex(num)), 16, '0') AS hex FROM e"))
 def be64(spark, d):
     b = model.encode_be64(number())
