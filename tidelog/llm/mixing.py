@@ -8,8 +8,10 @@ The iterations run as aggregations over a histogram (source, size, count); sums
 that no order of addition changes them and reruns agree.
 
 Rates become whole copies by systematic rounding over each source's documents in order of size:
-running sums of rates are cut at whole numbers, which keeps a source's tokens within one largest
-document of its target. Running sums go over bands of size, sizes, then salted groups of documents
+running sums of rates are cut at whole numbers, which keeps tokens within one largest document of
+what the rates say. Documents larger than a hundredth of their source's target are rounded first; the
+dual is then solved again for the others and what is left of the target, so a source comes within
+about a hundredth of its target wherever its smaller documents can make up for the large ones. Running sums go over bands of size, sizes, then salted groups of documents
 of one size, so no source has to fit into a task.
 
 Targets: sources in code point order, null last, weigh ``weights`` in turn and share ``budget``
@@ -41,6 +43,7 @@ class Mix:
     cap: int = 2
     steps: int = 40
     tolerance: float = 1e-9
+    large: int = 100  # documents of more than a target's hundredth are large
     group_rows: int = 5000  # documents of one size are dealt into groups of about so many
 
 
@@ -69,15 +72,15 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return per.select("source", "source_size", capped.alias("target"))
 
 
-def solve(sizes: DataFrame, goals: DataFrame, mix: Mix, scratch: Scratch) -> DataFrame:
+def solve(sizes: DataFrame, goals: DataFrame, mix: Mix, scratch: Scratch, tag: str) -> DataFrame:
     """(of, mean, full, lam) for each source, by Newton's iterations over the histogram."""
     mean = sizes.where(F.col("size") > 0).groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     g, m = goals.alias("g"), mean.alias("m")
     full = F.col("target") >= F.col("source_size") * float(mix.cap) * (1 - 1e-12)
     state = g.join(m, F.equal_null(F.col("g.source"), F.col("m.source"))).select(
-        F.col("g.source").alias("of"), "mean", (F.col("target") / F.col("mean")).alias("goal"), full.alias("done"), full.alias("full"), F.lit(0.0).alias("lam"), F.lit(-1024.0).alias("lo"), F.lit(1024.0).alias("hi")
+        F.col("g.source").alias("of"), "mean", (F.col("target") / F.col("mean")).alias("goal"), (full | (F.col("target") <= 0)).alias("done"), full.alias("full"), F.when(F.col("target") <= 0, -1e6).otherwise(0.0).alias("lam"), F.lit(-1024.0).alias("lo"), F.lit(1024.0).alias("hi")
     )
-    state = scratch.write(state, "state0")
+    state = scratch.write(state, f"{tag}0")
     sized = sizes.where(F.col("size") > 0)
     x = F.col("size") / F.col("mean")
     rate = mix.cap / (1 + F.exp(-F.col("lam") * x))
@@ -91,7 +94,7 @@ def solve(sizes: DataFrame, goals: DataFrame, mix: Mix, scratch: Scratch) -> Dat
         inside = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         met = F.abs(gap) <= mix.tolerance * F.greatest("goal", F.lit(1.0))
         moved = open_.join(sums, F.equal_null(F.col("of"), F.col("source"))).select("of", "mean", "goal", met.alias("done"), "full", F.when(met, F.col("lam")).otherwise(inside).alias("lam"), low.alias("lo"), high.alias("hi"))
-        state = scratch.write(moved.unionByName(state.where("done")), f"state{k + 1}")
+        state = scratch.write(moved.unionByName(state.where("done")), f"{tag}{k + 1}")
         if not state.where(~F.col("done")).head(1):
             break
     return state.select("of", "mean", "full", F.round("lam", 9).alias("lam"))
@@ -107,20 +110,37 @@ def decide(docs: DataFrame, key: list[str], mix: Mix = Mix(), text: str = "text"
     read = scratch.write(docs.select(F.struct(*map(col, key)).alias("row"), col(source).alias("source"), size_of(col(text)).alias("size"), row_hash(docs).alias("h")), "read")
     sizes = scratch.write(read.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     goals = scratch.write(targets(sizes, mix), "goals")
-    state = solve(sizes, goals, mix, scratch)
-    known = goals.join(state, F.equal_null(F.col("source"), F.col("of")), "left").select(F.col("source").alias("src"), "source_size", "target", "mean", "full", "lam")
     tilt = mix.cap / (1 + F.exp(-F.col("lam") * F.col("size") / F.col("mean")))
     unit = F.when((F.col("size") == 0) | F.col("mean").isNull(), 0).when(F.col("full"), mix.cap * UNIT).otherwise(F.round(tilt * UNIT)).cast("long")
-    groups = F.ceil(F.col("n") / mix.group_rows).cast("int")
-    band = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    rated = scratch.write(sizes.join(known, F.equal_null(F.col("source"), F.col("src"))).select(F.col("source").alias("src"), F.col("size").alias("z"), "n", "source_size", "target", unit.alias("unit"), groups.alias("groups"), band.alias("band")), "rated")
-    # a document's start is the sum of the rates before it: of bands, of sizes in its band, of groups of its size, in its group
+
+    def rate(hist: DataFrame, goals: DataFrame, tag: str) -> DataFrame:
+        """(src, z, n, source_size, target, unit) of a histogram."""
+        state = solve(hist, goals, mix, scratch, tag)
+        known = goals.join(state, F.equal_null(F.col("source"), F.col("of")), "left").select(F.col("source").alias("src"), "source_size", "target", "mean", "full", "lam")
+        rated = hist.join(known, F.equal_null(F.col("source"), F.col("src"))).select(F.col("source").alias("src"), F.col("size").alias("z"), "n", "source_size", "target", unit.alias("unit"))
+        return scratch.write(rated, f"{tag}-rated")
+
     before = lambda *by: Window.partitionBy(*by)
     prior = Window.unboundedPreceding, -1
     total = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(*prior)), F.lit(0))
-    bands = rated.groupBy("src", "band").agg(F.sum(F.col("n") * F.col("unit")).alias("u")).select(F.col("src").alias("bsrc"), F.col("band").alias("b"), total("u", before("src").orderBy("band")).alias("u0"))
-    starts = rated.withColumn("u1", total(F.col("n") * F.col("unit"), before("src", "band").orderBy("z")))
-    starts = starts.join(bands, F.equal_null(F.col("src"), F.col("bsrc")) & (F.col("band") == F.col("b"))).withColumn("start", F.col("u0") + F.col("u1")).drop("bsrc", "b", "u0", "u1", "band", "n")
+    cut = lambda at: F.shiftright(at + UNIT // 2, 20)
+    # large documents are rounded first; the others are tilted anew to what that leaves of the target
+    first = rate(sizes, goals, "all").withColumn("large", F.col("z") * mix.large > F.col("target"))
+    at = total(F.col("n") * F.col("unit"), before("src").orderBy("z"))
+    fixed = first.where("large").withColumn("at", at).withColumn("k", cut(F.col("at") + F.col("n") * F.col("unit")) - cut(F.col("at"))).groupBy("src").agg(F.sum(F.col("k") * F.col("z")).alias("fixed"))
+    small = first.where("NOT large").groupBy("src").agg(F.sum(F.col("n") * F.col("z")).alias("source_size"), F.first("target").alias("goal")).withColumnRenamed("src", "of")
+    left = small.join(fixed, F.equal_null(F.col("of"), F.col("src")), "left").select(F.col("of").alias("source"), "source_size", F.greatest(F.lit(0.0), F.least(F.col("goal") - F.coalesce("fixed", F.lit(0)), F.col("source_size") * float(mix.cap))).alias("target"))
+    second = rate(first.where("NOT large").select(F.col("src").alias("source"), F.col("z").alias("size"), "n"), scratch.write(left, "left"), "small")
+    own = goals.select(F.col("source").alias("of"), F.col("source_size").alias("s"), F.col("target").alias("t"))
+    second = second.join(own, F.equal_null(F.col("src"), F.col("of"))).select("src", "z", "n", F.col("s").alias("source_size"), F.col("t").alias("target"), "unit", F.lit(False).alias("large"))
+    groups = F.ceil(F.col("n") / mix.group_rows).cast("int")
+    band = F.floor(F.log2(F.col("z") + 1) * 8).cast("int")
+    rated = second.unionByName(first.where("large")).withColumns({"groups": groups, "band": band})
+    rated = scratch.write(rated, "rated")
+    # a document's start is the sum of the rates before it: of bands, of sizes in its band, of groups of its size, in its group
+    bands = rated.groupBy("src", "large", "band").agg(F.sum(F.col("n") * F.col("unit")).alias("u")).select(F.col("src").alias("bsrc"), F.col("large").alias("bl"), F.col("band").alias("b"), total("u", before("src", "large").orderBy("band")).alias("u0"))
+    starts = rated.withColumn("u1", total(F.col("n") * F.col("unit"), before("src", "large", "band").orderBy("z")))
+    starts = starts.join(bands, F.equal_null(F.col("src"), F.col("bsrc")) & (F.col("large") == F.col("bl")) & (F.col("band") == F.col("b"))).withColumn("start", F.col("u0") + F.col("u1")).drop("bsrc", "bl", "b", "u0", "u1", "band", "n", "large")
     starts = scratch.write(starts, "starts")
     salted = read.join(starts, F.equal_null(F.col("source"), F.col("src")) & (F.col("size") == F.col("z"))).withColumn("salt", F.pmod("h", "groups").cast("int"))
     salted = scratch.write(salted.drop("src", "z", "groups"), "salted")
@@ -128,8 +148,8 @@ def decide(docs: DataFrame, key: list[str], mix: Mix = Mix(), text: str = "text"
     counted = counted.select(F.col("source").alias("gs"), F.col("size").alias("gz"), F.col("salt").alias("gsalt"), total("m", before("source", "size").orderBy("salt")).alias("m0"))
     ranked = salted.withColumn("place", F.row_number().over(before("source", "size", "salt").orderBy("h", "row")) - 1)
     placed = ranked.join(counted, F.equal_null(F.col("source"), F.col("gs")) & (F.col("size") == F.col("gz")) & (F.col("salt") == F.col("gsalt")))
-    at = F.col("start") + (F.col("m0") + F.col("place")) * F.col("unit") + UNIT // 2
-    taken = F.shiftright(at + F.col("unit"), 20) - F.shiftright(at, 20)
+    at = F.col("start") + (F.col("m0") + F.col("place")) * F.col("unit")
+    taken = cut(at + F.col("unit")) - cut(at)
     return placed.select("row", "h", "source", "size", "source_size", "target", (F.col("unit") / UNIT).alias("rate"), taken.cast("long").alias("copies"))
 
 
