@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm.words import pieces
 
-BLOCK_BYTES = 12 << 20
-RANGE_BYTES = 8 << 20  # input for each hash range, about
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 4 << 20  # input for each hash range, about
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -74,6 +74,11 @@ def split(sorted_: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
     return ((k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b)
 
 
+def home(block: int, ranges: int) -> int:
+    """Where a block's own rows travel: beside the ranges, spread evenly."""
+    return ranges + ((block >> 24) * 7 + (block & 0xFFFFFF)) % ranges
+
+
 def block_number(k: int) -> int:
     from pyspark import TaskContext
 
@@ -90,6 +95,7 @@ def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
             if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import blocks
 from tidelog.llm.scratch import Scratch
-from tidelog.llm.words import coded, hashes, joined, mixed, plain
+from tidelog.llm.words import chained, coded, hashes, joined, mixed, plain
 
 SECOND, THIRD = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x1234567FEDCBA987)
 
@@ -54,7 +54,7 @@ def ngram_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(offsets)
     owner = np.repeat(np.arange(len(n)), n)
     whole = np.flatnonzero(np.arange(len(h)) + words <= offsets[1:][owner]) if len(h) else np.zeros(0, np.int64)
-    docs, grams = [owner[whole]], [joined(*(h[whole + k] for k in range(words)))]
+    docs, grams = [owner[whole]], [chained(h[whole + k] for k in range(words))]
     for size in range(1, words):
         short = np.flatnonzero(n == size)
         docs.append(short)
@@ -93,7 +93,7 @@ def _send(like: Likeness, ranges: int):
             owner, grams = owner[order].astype(np.uint64), grams[order]
             signed = lambda x: pa.array(x.view(np.int64))
             yield from pa.table(
-                blocks.rows(n, range=ranges + block % ranges, block=block, idx=pa.array(np.arange(n)), id=table.column("id"), mark=table.column("mark"), n=pa.array(size), a=signed(a), b=signed(b), data=None), schema=table_schema(table)
+                blocks.rows(n, range=blocks.home(block, ranges), block=block, idx=pa.array(np.arange(n)), id=table.column("id"), mark=table.column("mark"), n=pa.array(size), a=signed(a), b=signed(b), data=None), schema=table_schema(table)
             ).to_batches()
             for at, s, e in blocks.split(grams, ranges):
                 yield pa.record_batch(blocks.rows(1, range=at, block=block, idx=None, id=None, mark=None, n=None, a=None, b=None, data=blocks.pack(blocks.steps(grams[s:e]), owner[s:e])), schema=table_schema(table))
@@ -133,7 +133,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.concat_tables([docs, made])
 
 
-CANDIDATE = "a long, b long, n long, shared array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
+CANDIDATE = "a long, b long, n long, prefix int, shared array<long>, p1 array<long>"
 
 
 def _candidates(like: Likeness):
@@ -142,7 +142,7 @@ def _candidates(like: Likeness):
     def run(table: pa.Table) -> pa.Table:
         own = table.filter(pa.compute.is_null(table.column("data"))).sort_by("idx")
         data = [blocks.unpack(x) for x in table.column("data").to_pylist() if x is not None]
-        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), *[(k, pa.list_(pa.int64())) for k in ("shared", "p1", "p2", "p3")]])
+        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("shared", "p1")]])
         if not data or not own.num_rows:
             return kinds.empty_table()
         grams = np.concatenate([blocks.walk(d[0]) for d in data])
@@ -158,18 +158,14 @@ def _candidates(like: Likeness):
         pick[chosen] = True
         inside = pick[owner]
         grams, owner, df = grams[inside], owner[inside], df[inside]
-        lists = []
-        for keys in ((grams, df), (mixed(grams ^ SECOND),), (mixed(grams ^ THIRD),)):
-            order = np.lexsort((*keys, owner))
-            o = owner[order]
-            start = np.searchsorted(o, chosen)
-            place = np.arange(len(o)) - np.repeat(start, several[chosen])
-            head = place < left[o]
-            lists.append((grams[order][head], np.minimum(left, several)[chosen]))
-        order = np.argsort(owner, kind="stable")
-        lists.insert(0, (grams[order], several[chosen]))
+        order = np.lexsort((grams, df, owner))
+        o = owner[order]
+        place = np.arange(len(o)) - np.repeat(np.searchsorted(o, chosen), several[chosen])
+        first = grams[order][place < left[o]]
+        prefix = np.minimum(left, several)[chosen]
+        lists = [(grams[np.argsort(owner, kind="stable")], several[chosen]), (first, prefix)]
         arrays = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(c)).astype(np.int32)), pa.array(g.view(np.int64))) for g, c in lists]
-        return pa.table([own.column(k).take(pa.array(chosen)) for k in ("a", "b", "n")] + arrays, schema=kinds)
+        return pa.table([own.column(k).take(pa.array(chosen)) for k in ("a", "b", "n")] + [pa.array(prefix.astype(np.int32))] + arrays, schema=kinds)
 
     return run
 
@@ -217,11 +213,19 @@ def _links(like: Likeness):
         table = table.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending"), ("key", "ascending")]).combine_chunks()
         m = {"n": table.column("n").to_numpy(), "side": table.column("side").to_numpy(), "key": table.column("key").to_pylist()}
         flat = {}
-        for k in ("shared", "p1", "p2", "p3"):
+        for k in ("shared", "p1"):
             lists = table.column(k).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             offsets = lists.offsets.to_numpy().astype(np.int64)
             flat[k] = lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+        # the prefixes under the two random orders
+        values, offsets = flat["shared"]
+        prefix = table.column("prefix").to_numpy().astype(np.int64)
+        grams, owner = values.view(np.uint64), np.repeat(np.arange(len(prefix)), np.diff(offsets))
+        for k, seed in (("p2", SECOND), ("p3", THIRD)):
+            order = np.lexsort((mixed(grams ^ seed), owner))
+            head = np.arange(len(order)) - offsets[:-1][owner] < prefix[owner]
+            flat[k] = values[order][head], np.append(0, np.cumsum(prefix))
         names = list(zip(table.column("family").to_pylist(), table.column("i").to_pylist(), table.column("j").to_pylist(), strict=True))
         links: list[tuple[str, str]] = []
         lo = 0
@@ -264,19 +268,19 @@ def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id",
     found = scratch.write(read.mapInArrow(_send(like, ranges), schema).groupBy("range").applyInArrow(_answer, schema), "found")
     key = F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")).alias("key")
     near = found.select("block", "idx", "n", "a", "b", "data").groupBy("block").applyInArrow(_candidates(like), CANDIDATE)
-    near = scratch.write(near.select(key, "*").dropDuplicates(["key"]), "near")
+    near = scratch.write(near.select(key, "*"), "near")
 
     # families: each prefix n-gram ties its documents to the smallest of them
     prefix = near.select("key", F.explode("p1").alias("gram"))
     centre = prefix.groupBy("gram").agg(F.min("key").alias("c"))
     ties = prefix.join(centre, "gram").where(F.col("key") != F.col("c")).select(F.col("key").alias("u"), F.col("c").alias("v")).distinct()
     families = connected(ties, scratch, "family")
-    members = near.join(families, near["key"] == families["node"]).withColumnRenamed("label", "family")
     chunks = families.groupBy("label").agg(F.ceil(F.count("*") / like.chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    members = members.join(chunks, F.col("family") == F.col("label")).withColumn("own", own)
+    families = scratch.write(families.join(chunks, "label").select(F.col("node").alias("key"), F.col("label").alias("family"), "chunks"), "families")
+    # equal sets of several blocks are one member
+    members = near.join(families, "key").dropDuplicates(["key"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = members.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key", "n", "shared", "p1", "p2", "p3")
+    tasks = members.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key", "n", "prefix", "shared", "p1")
     n_tasks = max(1, families.count() // like.chunk) * 4
     tasks = tasks.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(n_tasks)))
     links = tasks.groupBy("task").applyInArrow(_links(like), "u string, v string")
@@ -284,7 +288,8 @@ def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id",
 
     rows = found.where(F.col("data").isNull()).select("id", "mark", "n", "a", "b")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"))
-    named = linked.join(near.select("key", "a", "b"), F.col("node") == F.col("key")).join(classes, ["a", "b"])
+    sets = near.select("key", "a", "b").distinct()
+    named = linked.join(sets, F.col("node") == F.col("key")).join(classes, ["a", "b"])
     named = named.join(named.groupBy("label").agg(F.min("first").alias("component")), "label").select("a", "b", "component")
     out = rows.join(classes, ["a", "b"], "left").join(named, ["a", "b"], "left")
     return out.select("id", "mark", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "first")).alias("component"))

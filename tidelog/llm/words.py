@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,7 +57,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def joined(*parts: np.ndarray) -> np.ndarray:
     """Hashes of sequences of hashes."""
-    out = np.zeros(len(parts[0]), np.uint64)
+    return chained(parts)
+
+
+def chained(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """The same of parts that are made one at a time."""
+    out = np.uint64(0)
     with np.errstate(over="ignore"):
         for p in parts:
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + p + np.uint64(0x632BE59BD9B4E019))
