@@ -266,9 +266,13 @@ def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id",
     read = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
     schema = f"range int, block long, idx long, id {docs.schema[id].dataType.simpleString()}, mark long, n long, a long, b long, data binary"
     found = scratch.write(read.mapInArrow(_send(like, ranges), schema).groupBy("range").applyInArrow(_answer, schema), "found")
+    scratch.tidy()
+    rows = scratch.write(found.where(F.col("data").isNull()).select("id", "mark", "n", "a", "b"), "rows")
     key = F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")).alias("key")
     near = found.select("block", "idx", "n", "a", "b", "data").groupBy("block").applyInArrow(_candidates(like), CANDIDATE)
     near = scratch.write(near.select(key, "*"), "near")
+    scratch.drop("found")
+    scratch.tidy()
 
     # families: each prefix n-gram ties its documents to the smallest of them
     prefix = near.select("key", F.explode("p1").alias("gram"))
@@ -286,7 +290,6 @@ def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id",
     links = tasks.groupBy("task").applyInArrow(_links(like), "u string, v string")
     linked = connected(scratch.write(links, "links"), scratch, "component")
 
-    rows = found.where(F.col("data").isNull()).select("id", "mark", "n", "a", "b")
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"))
     sets = near.select("key", "a", "b").distinct()
     named = linked.join(sets, F.col("node") == F.col("key")).join(classes, ["a", "b"])

@@ -7,6 +7,7 @@ executor costs no more than a reread, and they are deleted when the driver's pro
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -57,5 +58,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def tidy(self) -> None:
+        """Let Spark delete shuffle files that nothing refers to any more; call it after a large table is written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, tag: str) -> None:
         drop(self.spark, f"{self.path}/{tag}")
