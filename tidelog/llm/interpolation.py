@@ -6,11 +6,11 @@ a part of the training documents is left out of the counts, and its tokens, as a
 log of the bigram's share, log of the word's count), say which weights predict it best. Counts for
 scoring are those of all training documents.
 
-Texts are read once. Blocks of documents (see ``blocks``) send packed n-gram counts to hash ranges and
+Blocks of documents (see ``blocks``) send packed n-gram counts to hash ranges and
 get the corpus's counts back where they differ; what is gathered is every distinct n-gram of every
-block, so it grows with the corpus. A block's word sequence travels beside them as codes. The block then
-writes, for each document, the counts its tokens met; scoring is one pass over those once the weights
-are known. The histogram that comes to the driver has a fixed number of cells.
+block, so it grows with the corpus. A second reading brings each block's word sequence, as codes, to
+where its answers meet; the block then writes the counts that its tokens met, and scoring is one pass
+over those once the weights are known. The histogram that comes to the driver has a fixed number of cells.
 
 Words are identified by 64-bit hashes. Text is lower-cased (A to Z); a token is a word, then one end.
 
@@ -25,9 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.llm import blocks
 from tidelog.llm.samples import remainder
@@ -47,12 +47,12 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(c, 0) + 1).astype(np.int64), BUCKETS - 1)
 
 
-def _fields(id_type: str) -> str:
-    return f"range int, block long, idx long, id {id_type}, role int, n long, data binary, kind int"
+BLOCK = 12 << 20
 
-
-def _schema(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("range", pa.int32()), ("block", pa.int64()), ("idx", pa.int64()), ("id", id_type), ("role", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("kind", pa.int32())])
+# Rows of packed tables: what a block asks of a range, and what it is answered.
+TABLE = "range int, block long, kind int, data binary"
+TABLE_SCHEMA = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+SIZES = 3  # a kind: a range's share of the vocabulary
 
 
 def sequence(codes: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,68 +71,89 @@ def sequence(codes: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.n
 
 
 def _tables(w: np.ndarray, v: np.ndarray, role: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(kind, sorted hashes, training counts, counts without the held-out part). Role: 0 scored only, 1 counted, 2 held out."""
+    """(kind, sorted hashes, training counts, the held-out part of those). Role: 0 scored only, 1 counted, 2 held out."""
     base = np.int64(len(h))
     for kind, key in ((PAIR, v * base + w), (WORD, w)):
         distinct, at = np.unique(key, return_inverse=True)
         t = np.bincount(at, role > 0, len(distinct)).astype(np.uint64)
-        k = np.bincount(at, role == 1, len(distinct)).astype(np.uint64)
+        k = np.bincount(at, role == 2, len(distinct)).astype(np.uint64)
         g = joined(h[distinct // base], h[distinct % base]) if kind == PAIR else h[distinct]
         order = np.argsort(g)
         yield kind, g[order], t[order], k[order]
 
 
-def _send(ranges: int):
+def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of words, offsets, and hashes of codes, the end's and the start's at their end."""
+    codes, offsets, words = coded(plain(table.column("text")))
+    return codes, offsets, np.append(hashes(words), [END, START])
+
+
+def _ask(ranges: int):
+    """Texts to what their blocks ask of the ranges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in enumerate(blocks.gathered(batches)):
-            block, n = blocks.block_number(number), table.num_rows
-            schema = _schema(table.schema.field("id").type)
-            codes, offsets, words = coded(plain(table.column("text")))
-            h = np.append(hashes(words), [END, START])
-            w, v, owner = sequence(codes, offsets, len(words))
-            role = table.column("role").to_numpy()
-            home = ranges + block % ranges
-            yield from pa.table(blocks.rows(n, range=home, block=block, idx=pa.array(np.arange(n)), id=table.column("id"), role=table.column("role"), n=pa.array(np.diff(offsets) + 1), data=None, kind=None), schema=schema).to_batches()
-            packed = blocks.pack(codes.astype(np.uint64), h[:-2])
-            yield pa.record_batch(blocks.rows(1, range=home, block=block, idx=None, id=None, role=None, n=None, data=packed, kind=0), schema=schema)
-            for kind, g, t, k in _tables(w, v, role[owner], h):
+        for number, table in enumerate(blocks.gathered(batches, most=BLOCK)):
+            block = blocks.block_number(number)
+            codes, offsets, h = _tokens(table)
+            w, v, owner = sequence(codes, offsets, len(h) - 2)
+            for kind, g, t, held in _tables(w, v, table.column("role").to_numpy()[owner], h):
                 for at, s, e in blocks.split(g, ranges):
-                    yield pa.record_batch(blocks.rows(1, range=at, block=block, idx=None, id=None, role=None, n=None, data=blocks.pack(blocks.steps(g[s:e]), t[s:e], k[s:e]), kind=kind), schema=schema)
+                    yield pa.record_batch([[at], [block], [kind], [blocks.pack(blocks.steps(g[s:e]), t[s:e], held[s:e])]], schema=TABLE_SCHEMA)
+
+    return run
+
+
+def _keep(id_type: pa.DataType):
+    """The same texts to their blocks' documents and word sequences: one row a block.
+
+    Both passes read the same splits of the same table, so they cut it into the same blocks.
+    """
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("roles", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table in enumerate(blocks.gathered(batches, most=BLOCK)):
+            codes, offsets, h = _tokens(table)
+            data = blocks.pack(codes.astype(np.uint64), h[:-2])
+            yield pa.record_batch([[blocks.block_number(number)], [table.column("id").to_pylist()], [table.column("role").to_pylist()], [(np.diff(offsets) + 1).tolist()], [data]], schema=schema)
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """One hash range: the corpus's counts, for each block where they differ from its own."""
-    kind = table.column("kind").to_numpy(zero_copy_only=False)
-    out = [table.filter(pa.array(~((kind == PAIR) | (kind == WORD))))]
+    """One hash range: the corpus's counts, for each block where they differ from its own.
+
+    A block knows its own hashes, so the answer is a bit for each, and counts where the bit is set.
+    """
+    at = table.column("range")[0].as_py()
+    kinds = table.column("kind").to_numpy()
+    out = []
     for which in (PAIR, WORD):
-        sent = table.filter(pa.array(kind == which))
+        sent = table.filter(pa.array(kinds == which))
         if not sent.num_rows:
             continue
         got = [blocks.unpack(x) for x in sent.column("data").to_pylist()]
+        lengths = [len(x[0]) for x in got]
         g = np.concatenate([blocks.walk(x[0]) for x in got])
-        t, k = (np.concatenate([x[c] for x in got]) for c in (1, 2))
-        source = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
+        own = [np.concatenate([x[c] for x in got]) for c in (1, 2)]
         order = np.argsort(g, kind="stable")
         edge = np.flatnonzero(np.append(True, np.diff(g[order]) != 0))
         counts = np.diff(np.append(edge, len(order)))
         totals = []
-        for own in (t, k):
-            full = np.empty_like(own)
-            full[order] = np.repeat(np.add.reduceat(own[order], edge), counts)
+        for x in own:
+            full = np.empty_like(x)
+            full[order] = np.repeat(np.add.reduceat(x[order], edge), counts)
             totals.append(full)
         if which == WORD:
-            known = [int((x[order][edge] > 0).sum()) for x in totals]
-            out.append(pa.table(blocks.rows(1, range=0, block=-1, idx=None, id=None, role=None, n=None, data=blocks.pack(np.array(known, np.uint64)), kind=3), schema=table.schema))
-        differs = (totals[0] != t) | (totals[1] != k)
-        g, t, k, source = g[differs], totals[0][differs], totals[1][differs], source[differs]
-        bounds = np.searchsorted(source, np.arange(len(got) + 1))
-        home = sent.column("block").to_pylist()
-        data = [(home[i], blocks.pack(blocks.steps(g[s:e]), t[s:e], k[s:e])) for i, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)) if e > s]
-        if data:
-            out.append(pa.table(blocks.rows(len(data), range=0, block=pa.array([x[0] for x in data], pa.int64()), idx=None, id=None, role=None, n=None, data=pa.array([x[1] for x in data], pa.binary()), kind=which), schema=table.schema))
-    return pa.concat_tables(out)
+            known = int((totals[0][order][edge] > 0).sum())
+            out.append((at, -1, SIZES, blocks.pack(np.array([known], np.uint64))))
+        differs = (totals[0] != own[0]) | (totals[1] != own[1])
+        bounds = np.append(0, np.cumsum(lengths))
+        for block, s, e in zip(sent.column("block").to_pylist(), bounds, bounds[1:], strict=False):
+            d = differs[s:e]
+            if d.any():
+                bits = np.packbits(np.append(d, np.zeros(-len(d) % 64, bool))).view("<u8")
+                out.append((at, block, which, blocks.pack(bits, totals[0][s:e][d], totals[1][s:e][d])))
+    return pa.table([pa.array([x[c] for x in out], f.type) for c, f in enumerate(TABLE_SCHEMA)], schema=TABLE_SCHEMA)
 
 
 def _quarter(x: np.ndarray) -> np.ndarray:
@@ -140,54 +161,67 @@ def _quarter(x: np.ndarray) -> np.ndarray:
     return np.round(4 * np.log2(x)).astype(np.int64)
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """One block: for each document the counts its tokens met; for held-out ones, cells of the histogram too."""
-    schema = pa.schema([("id", table.schema.field("id").type), ("role", pa.int32()), ("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("data", pa.binary()), ("vocabulary", pa.int64()), ("cells", pa.int64())])
-    kind = table.column("kind").to_numpy(zero_copy_only=False)
-    if (kind == 3).any():  # sizes of the vocabulary, from all ranges
-        sizes = np.sum([blocks.unpack(x)[0] for x in table.filter(pa.array(kind == 3)).column("data").to_pylist()], axis=0)
-        return pa.table(blocks.rows(1, id=None, role=-1, n=None, known=None, logs=None, data=None, vocabulary=int(sizes[0]), cells=None), schema=schema)
-    docs = table.filter(pa.compute.is_valid(table.column("idx"))).sort_by("idx")
-    codes, vocabulary = blocks.unpack(table.filter(pa.array(kind == 0)).column("data").to_pylist()[0])
-    n = docs.column("n").to_numpy()
-    role = docs.column("role").to_numpy()
-    offsets = np.append(0, np.cumsum(n - 1))
-    h = np.append(vocabulary, [END, START])
-    w, v, owner = sequence(codes.astype(np.int64), offsets, len(vocabulary))
-    roles = role[owner]
-    base = np.int64(len(h))
-    counts = {}
-    for which, own in (t[:1] + (t[1:],) for t in _tables(w, v, roles, h)):
-        g, t, k = own
-        for data in table.filter(pa.array(kind == which)).column("data").to_pylist():
-            steps, full, part = blocks.unpack(data)
-            at = np.searchsorted(g, blocks.walk(steps))
-            t[at], k[at] = full, part
-        counts[which] = g, t, k
-    pairs, back = np.unique(v * base + w, return_inverse=True)
-    at2 = np.searchsorted(counts[PAIR][0], joined(h[pairs // base], h[pairs % base]))[back]
-    # counts of every code as a word; as a context each word occurs as often, and the start as often as the end
-    words = np.unique(w)
-    by_code = np.zeros((2, len(h)), np.uint64)
-    at1 = np.searchsorted(counts[WORD][0], h[words])
-    for c in (0, 1):
-        by_code[c, words] = counts[WORD][c + 1][at1]
-        by_code[c, len(h) - 1] = by_code[c, len(h) - 2]
-    c2, c1, cv = counts[PAIR][1][at2], by_code[0, w], by_code[0, v]
-    edge = np.append(0, np.cumsum(n))
-    upto = lambda x: np.diff(np.append(0, np.cumsum(x))[edge])
-    logs = np.add.reduceat(np.log10(c1.astype(float) + 1), edge[:-1])
-    data = [blocks.pack(c2[s:e], c1[s:e], cv[s : s + 1]) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-    out = [pa.table({"id": docs.column("id"), "role": docs.column("role"), "n": docs.column("n"), "known": pa.array(upto((c1 > 0).astype(np.int64))), "logs": pa.array(logs), "data": pa.array(data, pa.binary()), "vocabulary": pa.nulls(len(n), pa.int64()), "cells": pa.nulls(len(n), pa.int64())}, schema=schema)]
-    held = roles == 2
-    if held.any():
-        k2, k1, kv = (x[held].astype(float) for x in (counts[PAIR][2][at2], by_code[1, w], by_code[1, v]))
-        share = np.where(k2 > 0, np.clip(-_quarter(np.maximum(k2, 1) / np.maximum(kv, 1)), 0, NONE - 1), NONE)
-        single = np.where(k1 > 0, np.clip(_quarter(np.maximum(k1, 1)), 0, NONE - 1), NONE)
-        cells, found = np.unique((bucket(kv) * CELLS + share) * CELLS + single, return_counts=True)
-        m = len(cells)
-        out.append(pa.table(blocks.rows(m, id=None, role=-2, n=pa.array(found), known=None, logs=None, data=None, vocabulary=None, cells=pa.array(cells)), schema=schema))
-    return pa.concat_tables(out)
+def _met_fields(id_type: str) -> str:
+    return f"kind int, a long, b long, ids array<{id_type}>, roles array<int>, ns array<long>, known array<long>, logs array<double>, data binary"
+
+
+DOCUMENTS, VOCABULARY, TOKENS, CELL = 0, 1, 2, 3
+
+
+def _met(ranges: int, id_type: pa.DataType):
+    """One block: the counts that its documents' tokens met; of held-out ones, cells of the histogram too."""
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("ids", pa.list_(id_type)), ("roles", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64())), ("data", pa.binary())])
+
+    def numbers(kind: int, pairs: list[tuple[int, int]]) -> pa.Table:
+        rest = [pa.nulls(len(pairs), f.type) for f in list(schema)[3:]]
+        return pa.table([pa.array([kind] * len(pairs), pa.int32()), pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64()), *rest], schema=schema)
+
+    def run(kept: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = answers.column("kind").to_numpy() if answers.num_rows else np.zeros(0, int)
+        if not kept.num_rows:  # what the ranges say of the vocabulary
+            return numbers(VOCABULARY, [(sum(int(blocks.unpack(x)[0][0]) for x in answers.column("data").to_pylist()), 0)])
+        codes, vocabulary = blocks.unpack(kept.column("data")[0].as_py())
+        n, role = (np.array(kept.column(c)[0].as_py(), np.int64) for c in ("ns", "roles"))
+        h = np.append(vocabulary, [END, START])
+        w, v, owner = sequence(codes.astype(np.int64), np.append(0, np.cumsum(n - 1)), len(vocabulary))
+        roles, base = role[owner], np.int64(len(h))
+        counts = {}
+        for which, g, t, held in _tables(w, v, roles, h):
+            places = {at: (s, e) for at, s, e in blocks.split(g, ranges)}
+            own = answers.filter(pa.array(kinds == which)) if answers.num_rows else answers
+            for at, data in zip(own.column("range").to_pylist(), own.column("data").to_pylist(), strict=True):
+                bits, full, part = blocks.unpack(data)
+                s, e = places[at]
+                assert len(bits) == (e - s + 63) // 64, "the two readings cut the table into other blocks"
+                place = s + np.flatnonzero(np.unpackbits(bits.view(np.uint8)))
+                t[place], held[place] = full, part
+            counts[which] = g, t, held
+        pairs, back = np.unique(v * base + w, return_inverse=True)
+        at2 = np.searchsorted(counts[PAIR][0], joined(h[pairs // base], h[pairs % base]))[back]
+        # a word is a context as often as it occurs, and the start as often as the end
+        words = np.unique(w)
+        by_code = np.zeros((2, len(h)), np.uint64)
+        at1 = np.searchsorted(counts[WORD][0], h[words])
+        for c in (0, 1):
+            by_code[c, words] = counts[WORD][c + 1][at1]
+            by_code[c, -1] = by_code[c, -2]
+        c2, c1 = counts[PAIR][1][at2], by_code[0, w]
+        edge = np.append(0, np.cumsum(n))
+        known = np.diff(np.append(0, np.cumsum(c1 > 0))[edge])
+        logs = np.add.reduceat(np.log10(c1.astype(float) + 1), edge[:-1])
+        row = [[DOCUMENTS], [None], [None], kept.column("ids"), kept.column("roles"), kept.column("ns"), [known.tolist()], [logs.tolist()], [blocks.pack(c2, c1, by_code[0, -1:])]]
+        out = [pa.table(row, schema=schema), numbers(TOKENS, [(int(n[role > 0].sum()), int(n[role == 1].sum()))])]
+        held = roles == 2
+        if held.any():
+            k2 = (counts[PAIR][1] - counts[PAIR][2])[at2][held].astype(float)
+            k1, kv = ((by_code[0] - by_code[1])[x[held]].astype(float) for x in (w, v))
+            share = np.where(k2 > 0, np.clip(-_quarter(np.maximum(k2, 1) / np.maximum(kv, 1)), 0, NONE - 1), NONE)
+            single = np.where(k1 > 0, np.clip(_quarter(np.maximum(k1, 1)), 0, NONE - 1), NONE)
+            cells, found = np.unique((bucket(kv) * CELLS + share) * CELLS + single, return_counts=True)
+            out.append(numbers(CELL, list(zip(cells.tolist(), found.tolist(), strict=True))))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def learn(cells: np.ndarray, found: np.ndarray, tokens: float, vocabulary: float, rounds: int = 200, tolerance: float = 1e-7) -> np.ndarray:
@@ -214,34 +248,37 @@ def score(docs: DataFrame, role: object, id: str = "doc_id", text: str = "text")
 
     ``role``: a Column, 0 for documents that are scored only, 1 for counted ones, 2 for the held-out part of training.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "interpolation")
+    scratch = Scratch(docs.sparkSession, "interpolation")
     ranges = blocks.ranges_for(docs)
     kind = docs.schema[id].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema[id].dataType)
     read = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), role.cast("int").alias("role"))
-    answered = read.mapInArrow(_send(ranges), _fields(kind)).groupBy("range").applyInArrow(_answer, _fields(kind))
-    met = answered.groupBy("block").applyInArrow(_met, f"id {kind}, role int, n long, known long, logs double, data binary, vocabulary long, cells long")
-    met = scratch.write(met, "met")
-    rows = met.where("role >= 0")
-    totals = rows.agg(F.sum(F.when(F.col("role") > 0, F.col("n"))).alias("t"), F.sum(F.when(F.col("role") == 1, F.col("n"))).alias("k")).first()
-    tokens, counted = float(totals.t or 0), float(totals.k or 0)
-    vocabulary = float(met.where("role = -1").agg(F.sum("vocabulary")).first()[0] or 0)
+    answers = read.mapInArrow(_ask(ranges), TABLE).groupBy("range").applyInArrow(_answer, TABLE)
+    kept = read.mapInArrow(_keep(id_type), f"block long, ids array<{kind}>, roles array<int>, ns array<long>, data binary")
+    met = scratch.write(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_met(ranges, id_type), _met_fields(kind)), "met")
+    scratch.tidy()
+    sums = {r.kind: (float(r.a or 0), float(r.b or 0)) for r in met.where(F.col("kind").isin(VOCABULARY, TOKENS)).groupBy("kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
+    tokens, counted = sums.get(TOKENS, (0.0, 0.0))
+    vocabulary = sums.get(VOCABULARY, (0.0, 0.0))[0]
     # at most BUCKETS * CELLS * CELLS rows
-    cells = met.where("role = -2").groupBy("cells").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn(cells.cells.to_numpy(np.int64), cells.n.to_numpy(float), counted, vocabulary)
+    cells = met.where(F.col("kind") == CELL).groupBy("a").agg(F.sum("b").alias("b")).toPandas()
+    weights = learn(cells["a"].to_numpy(np.int64), cells["b"].to_numpy(float), counted, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
-            for data in batch.column("data").to_pylist():
-                c2, c1, first = blocks.unpack(data)
-                cv = np.append(first, c1[:-1]).astype(float)
-                m = weights[bucket(cv)]
+            for k in range(batch.num_rows):
+                c2, c1, first = blocks.unpack(batch.column("data")[k].as_py())
+                n = np.array(batch.column("ns")[k].as_py(), np.int64)
+                starts = np.append(0, np.cumsum(n))[:-1]
+                cv = np.append(0, c1[:-1])
+                cv[starts] = first
+                m, cv = weights[bucket(cv.astype(float))], cv.astype(float)
                 p = m[:, 2] * c2 / np.maximum(cv, 1) + m[:, 1] * c1 / max(tokens, 1) + m[:, 0] / (vocabulary + 1)
-                scores.append(float(np.log10(p).sum()))
-            yield pa.record_batch([*(batch.column(c) for c in ("id", "role", "n", "known", "logs")), pa.array(scores, pa.float64())], names=["id", "role", "n", "known", "logs", "score"])
+                scores = np.add.reduceat(np.log10(p), starts)
+                lists = [batch.column(c)[k].values for c in ("ids", "roles", "ns", "known", "logs")]
+                yield pa.record_batch([*lists, pa.array(scores, pa.float64())], names=["id", "role", "n", "known", "logs", "score"])
 
-    out = rows.select("id", "role", "n", "known", "logs", "data").mapInArrow(run, f"id {kind}, role int, n long, known long, logs double, score double")
+    out = met.where(F.col("kind") == DOCUMENTS).select("ids", "roles", "ns", "known", "logs", "data").mapInArrow(run, f"id {kind}, role int, n long, known long, logs double, score double")
     return out.withColumns({"train_tokens": F.lit(int(tokens)).cast("long"), "vocabulary": F.lit(int(vocabulary)).cast("long")})
 
 
