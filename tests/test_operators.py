@@ -161,6 +161,27 @@ def test_replay_is_what_a_sequential_engine_emits(records, advance):
         assert got == _emissions(times, 10, advance)
 
 
+def _replayed(spark, folder, name):
+    """What a replay query gives for 2,600 records, and their types and times by arrival."""
+    from pyspark.sql import functions as F
+
+    from tidelog.plans import queries as plans
+
+    n, base = 2_600, 36_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(base + F.col("id") * 300).alias("ts"), (F.col("id") % 9).alias("user_id"), F.element_at(F.array(*map(F.lit, ("view", "click", "error"))), ((F.col("id") * 5) % 3 + 1).cast("int")).alias("event_type"), F.lit("{}").alias("props"))
+    df.write.parquet(f"file://{folder}/events.parquet")
+    arrived = sorted(range(n), key=lambda k: (k + k * 7919 % 50, k))
+    times = [(("view", "click", "error")[k * 5 % 3], (base + k * 300) * 1_000_000_000) for k in arrived]
+    return sorted((r.event_type, r.start_ns, r.n) for r in plans.queries()[name](spark, f"file://{folder}").collect()), times
+
+
+def test_tumbling_replay_query_covers_all_records(spark, tmp_path):
+    from tidelog.plans.queries import HOUR
+
+    got, times = _replayed(spark, tmp_path, "tumbling_replay")
+    assert got == _emissions(times, HOUR)
+
+
 def pairs(df):
     text = lambda x: bytes(x.value).decode() if x else None
     return sorted(((text(r.left), text(r.right)) for r in df.collect()), key=str)

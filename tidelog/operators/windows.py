@@ -70,7 +70,8 @@ def replay(df: DataFrame, size_ns: int, advance_ns: int | None = None, order: st
     # f: of each window's end, the first place whose watermark reaches it: a merge of ends and marks by time
     ends = held.select(*by, (F.col("_w") + size_ns).alias("_t")).distinct().withColumns({"_at": F.lit(None).cast("long"), "_end": F.lit(True)})
     both = ends.unionByName(marks.select(*by, F.col("_wm").alias("_t"), "_at", F.lit(False).alias("_end")))
-    later = Window.partitionBy(*by).orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # read from the latest time back, as a frame without end on the far side is summed anew for every row
+    later = Window.partitionBy(*by).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reach = both.withColumn("_f", F.min("_at").over(later)).where("_end").select(*by, (F.col("_t") - size_ns).alias("_w"), "_f")
     size = placed.groupBy(*by).agg(F.count("*").alias("_n"))
     # records whose own start is a window count against its closings, whatever their key

@@ -286,7 +286,7 @@ SHUFFLED = "SELECT row_number() OVER (ORDER BY off + (off * 7919) % 50, off) - 1
     (SELECT count(*) FROM p b WHERE b.wm >= a.w + {HOUR} AND b.w <> a.w) AS closings FROM p a) WHERE chunk < closings GROUP BY ALL)""").replace("WITH e AS", "WITH p0 AS (SELECT 1), e AS", 1).replace(") SELECT * FROM (SELECT event_type", f"), q AS ({SHUFFLED}), p AS (SELECT i, event_type, ts_ns // {HOUR} * {HOUR} AS w, max(ts_ns) OVER (ORDER BY i) AS wm FROM q WHERE i < 2000) SELECT * FROM (SELECT event_type", 1))
 def tumbling_replay(spark, d):
     moved = ordered.arrival_index(events(spark, d).withColumn("o", F.col("offset") + (F.col("offset") * 7919) % 50), ("o", "offset"), into="i")
-    df = moved.withColumn("offset", F.col("i")).where("i < 2000").withColumn("key", model.header("event-type"))
+    df = moved.withColumn("offset", F.col("i")).withColumn("key", model.header("event-type"))
     return view(windows.replay(df, HOUR), event_type=model.text("key"), start_ns="window_start_ns", emission="emission", n="count")
 
 
