@@ -182,6 +182,13 @@ def test_tumbling_replay_query_covers_all_records(spark, tmp_path):
     assert got == _emissions(times, HOUR)
 
 
+def test_hopping_replay_query_covers_all_records(spark, tmp_path):
+    from tidelog.plans.queries import HOUR
+
+    got, times = _replayed(spark, tmp_path, "hopping_replay")
+    assert got == _emissions(times, 3 * HOUR, HOUR)
+
+
 def pairs(df):
     text = lambda x: bytes(x.value).decode() if x else None
     return sorted(((text(r.left), text(r.right)) for r in df.collect()), key=str)
