@@ -333,6 +333,76 @@ def test_licenses(spark, docs, none):
     assert got == {1: (1, "Apache-2.0", "notice", "Apache-2.0"), 2: (3, "MIT", "full", "MIT"), 3: (2, "CC-BY-NC-4.0", "notice", "CC-BY-NC-4.0,MIT"), 4: (0, None, None, ""), 5: (0, None, None, "")}
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}1{} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{}2{} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{}3{} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licenses_as_they_are_written(spark):
+    lead = lambda mark, s: "\n".join(mark + x for x in s.split("\n"))
+    texts = {
+        ("Apache-2.0", "full", 5): [APACHE, "/*\n" + lead(" * ", APACHE) + "\n */", lead("# ", APACHE).replace("\n", "\r\n"), APACHE.replace("http:", "https:"), " ".join(APACHE.split())],
+        ("GPL-3.0-or-later", "full", 3): [GPL.format(":", ",", 3), lead("// ", GPL.format(":", ",", 3)), lead("dnl ", GPL.format(":", ",", 3))],
+        ("GPL-2.0-or-later", "full", 3): [GPL.format(";", ";", 2), lead("REM ", GPL.format(";", ";", 2))],
+        ("MIT", "full", 3): [MIT, lead("-- ", MIT), " ".join(MIT.split())],
+        ("MPL-2.0", "notice", 1): [MPL, lead("# ", MPL)],
+        ("BSD-3-Clause", "full", 4): [BSD.format("", ".", "", ".", "", "."), BSD.format(*"()()()"), lead(" * ", BSD.format(*"()()()"))],
+        (None, None, 0): ["This text is not licensed under the\nMIT License.", "Licensed under\nthe MIT License if you like. No warranty", "Licensed | under. the | BSD license"],
+    }
+    rows = [(i, s, want) for i, (want, s) in enumerate((w, s) for w, l in texts.items() for s in l)]
+    got = {r.doc_id: (r.license, r.form, r.n_sentences) for r in licenses.licenses_query(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: want for i, _, want in rows}
+    anchor = re.compile(licenses.ANCHOR)
+    assert all(anchor.search(s) for s in licenses.WORDINGS) and set(licenses.WORDINGS.values()) <= set(licenses.SENTENCES)
+
+
 # -- the pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

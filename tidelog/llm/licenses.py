@@ -1,7 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, letters and digits kept, all else one
-blank) and looked up among known licence sentences. The identifiers found, in order, are held
+A text is cut into pieces at sentence and line ends; each is normalised (lower case, letters and digits
+kept, all else one blank). A known licence sentence is found where one piece, or several that follow one
+another, have its words and no others: sentences may be wrapped, quoted or behind comment marks, and may
+have colons, semicolons and abbreviations in them. Of sentences that begin at one piece the longest is
+taken, and the next search begins behind it. The identifiers found, in order, are held
 against ordered rules: a rule matches when its identifiers occur in its order, other identifiers
 between them allowed. The first rule that matches names the document's licence; rules are listed
 from the most to the least specific, so a full text comes before a mere mention.
@@ -46,6 +49,17 @@ SENTENCES = {
     "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
+# Other wordings of these sentences.
+WORDINGS = {
+    "licensed under the apache license version 2 0 the license": "apache2-notice",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache2-notice",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-obtain",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 html": "apache2-obtain",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0 html": "apache2-obtain",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-condition",
+    "neither the name of copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+}
+
 # Rules in order; the identifiers must occur in this order.
 RULES = (
     ("Apache-2.0", "full", ("apache2-notice", "apache2-use", "apache2-obtain", "apache2-asis", "apache2-see")),
@@ -72,12 +86,26 @@ ANCHOR = "(?i)(licen[cs]e|permission|redistribut|warrant|copyright)"
 BREAK = r"[.!?;:]+([\x20\x09-\x0D]+|$)|[\r\n]+"
 
 
+# An address ends a piece, as no full stop follows it.
+ADDRESS = r"(://[^\x20\x09\n]+)[\x20\x09]"
+# Before a piece: comment words, and list marks as (1) or a).
+LEAD = r"\n *(?:dnl|rem)(?=[ \n])"
+ITEM = r"\n[^a-z0-9\n]*[a-z0-9]\)(?=[\x20\x09])"
+
+
+def known_pattern() -> str:
+    """Any known sentence between piece ends, the longest first; a piece end may stand between its words."""
+    listed = sorted({*SENTENCES.values(), *WORDINGS}, key=lambda s: (-len(s), s))
+    return "(?<=\\| )(?:" + "|".join(s.replace(" ", " (?:\\| )?") for s in listed) + ")(?= \\|)"
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    plain = F.transform(F.split(text, BREAK, -1), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, k)])
-    listed = F.array(*[F.lit(s) for s in SENTENCES.values()])
-    found = F.transform(F.filter(plain, lambda s: F.array_contains(listed, s)), lambda s: F.element_at(known, s))
+    ends = F.regexp_replace(F.concat(F.lit("\n"), F.lower(text), F.lit("\n")), BREAK, "\n")
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(ends, ADDRESS, "$1\n"), ITEM, "\n"), r"[^a-z0-9\n]+", " ")
+    pieces = F.regexp_replace(F.regexp_replace(words, LEAD, "\n"), r" *\n[ \n]*", " | ")
+    known = F.create_map(*[F.lit(x) for s, k in [*((s, k) for k, s in SENTENCES.items()), *WORDINGS.items()] for x in (s, k)])
+    found = F.transform(F.regexp_extract_all(pieces, F.lit(known_pattern()), F.lit(0)), lambda s: F.element_at(known, F.replace(s, F.lit("| "), F.lit(""))))
     return F.when(text.rlike(ANCHOR), found).otherwise(F.array().cast("array<string>"))
 
 
