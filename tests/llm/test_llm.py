@@ -130,6 +130,26 @@ def test_join_is_brute_force(spark, chunk):
         assert got == {i: (len(sets[i]), want[i]) for i in texts}
 
 
+def test_join_groups_hold_one_pair_of_chunks(spark, monkeypatch):
+    links = ngram_join._links
+
+    def counted(like):
+        run = links(like)
+
+        def checked(table):
+            seen = {(f, i, j) for f, i, j in zip(*(table.column(c).to_pylist() for c in ("family", "i", "j")), strict=True)}
+            assert len(seen) == 1 or {(i, j) for _, i, j in seen} == {(0, 0)}, f"{len(seen)} pairs of chunks in one group"
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    texts = dict(enumerate([*family(90, 7, 3), *family(2, 8, 1), *family(2, 9, 1)]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.component for r in ngram_join.components(df, ngram_join.Likeness(3, 70, 100, 5)).collect()}
+    assert got == components({i: grams(t, 3) for i, t in texts.items()}, 70, 100)
+
+
 def test_join_keeps_one_of_each(docs, none):
     assert ngram_join.components(none).count() == 0 and ngram_join.deduplicated(none).count() == 0
     kept = ngram_join.deduplicated(docs)

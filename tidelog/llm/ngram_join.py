@@ -284,10 +284,12 @@ def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id",
     # equal sets of several blocks are one member
     members = near.join(families, "key").dropDuplicates(["key"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = members.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key", "n", "prefix", "shared", "p1")
+    # a pair of chunks is a group of its own; families of one chunk, which are many, are dealt out together
+    large = F.when(F.col("chunks") > 1, F.col("family")).alias("large")
+    tasks = members.select(large, "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key", "n", "prefix", "shared", "p1")
     n_tasks = max(1, families.count() // like.chunk) * 4
-    tasks = tasks.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(n_tasks)))
-    links = tasks.groupBy("task").applyInArrow(_links(like), "u string, v string")
+    tasks = tasks.withColumn("task", F.when(F.col("large").isNull(), F.pmod(F.xxhash64("family"), F.lit(n_tasks))))
+    links = tasks.groupBy("task", "large", "i", "j").applyInArrow(_links(like), "u string, v string")
     linked = connected(scratch.write(links, "links"), scratch, "component")
 
     classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"))
