@@ -56,7 +56,9 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-# Entropy balancing and byte-pair merges are not SQL; tests hold run() against plain Python.
+# Entropy balancing and byte-pair merges are not SQL. Tests hold the operators of the stages against plain Python or
+# fixed cases, each by itself; of run() they check which documents stay, the text of an exact copy and of a redacted
+# document by their decoded hashes, and that rows of a document are alike. The number of copies is held in mixing's tests alone.
 ORACLE_SQL = None
 
 

@@ -438,3 +438,18 @@ def test_pipeline(spark, tmp_path):
     empty = tmp_path / "none"
     df.where("false").write.parquet(f"file://{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{empty}").count() == 0
+
+
+def test_pipeline_redacts_and_drops_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    lines = [prose(k, 12) for k in range(20)]
+    near = lines[:-1] + [lines[-1].replace(".", " more.")]
+    secret = prose(77, 30) + ' token = "{}".'
+    rows = [(1, "\n".join(lines)), (2, "\n".join(near)), (6, secret.format("9f8e7d6c5b4a39281706f5e4d3c2b1a0"))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    want = {1: rows[0][1], 6: secret.format("<secret>")}
+    assert {(r.doc_id, r.decoded_sha256) for r in out} == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
+    assert len(set(map(str, out))) == 2
