@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+    plain = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
     return sorted(repr(tuple(plain(v) for v in r)).replace("True", "1").replace("False", "0") for r in df.astype(object).itertuples(index=False, name=None))
 
 
