@@ -5,8 +5,11 @@ that fail go; a document that loses more than ``max_loss`` of its characters is
 that, whole-document floors (word count, share of repeated words) reject junk outright.
 
 Defined cases: a null text is an empty one; an empty text has no lines, fails the word floor and is
-not kept; every input row gives one output row, repeated rows included; columns other than the
-document's id and text are never read.
+not kept; every input row gives one output row, repeated rows included, and equal texts get equal
+verdicts; where words repeat in overlapping windows each is counted once; all columns are carried in a
+struct of their own, so no name can clash. A very long text or line takes memory for itself, its lines
+and its windows of five words, about ten times its size, in the task that has it; every pattern reads it
+in proportion to its length and without recursion.
 
 Everything is a Column expression, without a shuffle: one scan, one projection.
 """
@@ -23,12 +26,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 # What the rules look for.
 SYMBOLS = r"[#*$%&|<>]"
 ENDINGS = r"[.!?:;,…。)\]\"'”’»-]\s*$"
-NAVIGATION = r"(?i)^\W*(home|about( us)?|contact( us)?|log ?in|log ?out|sign (in|up|out)|register|menu|search|next|previous|back to top|skip to (main )?content|read more|see more|site ?map|faq|share( this)?|tweet|print|help)(\W+(home|about( us)?|contact( us)?|log ?in|log ?out|sign (in|up|out)|register|menu|search|next|previous|back to top|skip to (main )?content|read more|see more|site ?map|faq|share( this)?|tweet|print|help))*\W*$"
+ITEMS = r"home|about( us)?|contact( us)?|log ?in|log ?out|sign (in|up|out)|register|menu|search|next|previous|back to top|skip to (main )?content|read more|see more|site ?map|faq|share( this)?|tweet|print|help"
 SEPARATOR = "[|»›·•>]"
 LINE_SYMBOLS = r"[#*$%&|<>{}\\^~=]"
-SEPARATED = r"([|»›·•>][^|»›·•>]*){3,}"
+SEPARATED = SEPARATOR + (f"[^{SEPARATOR[1:-1]}]*" + SEPARATOR) * 2
 BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|(use|uses|accept) (of )?cookies|lorem ipsum|(enable|requires) javascript|subscribe to (our|the) newsletter|powered by wordpress|click here to)"
 
+# A line of nothing but items. As the engine's patterns recurse for each turn of a repeated group, lines
+# are held against ITEM alone, which has none; NAVIGATION says the same where patterns are automata.
+NAVIGATION = rf"(?i)^\W*({ITEMS})(\W+({ITEMS}))*\W*$"
+ITEM = rf"(?i)(?<!\w)({ITEMS})(?!\w)"
+
 
 @dataclass(frozen=True)
 class LineRules:
@@ -43,8 +51,9 @@ class LineRules:
 # One anchor of each boilerplate phrase, in lower case: a text without any has no such line.
 ANCHORS = ("rights reserved", "terms of", "privacy policy", "cookie", "lorem ipsum", "javascript", "newsletter", "powered by", "click here")
 
-# A match consumes one word and captures it with the four that follow.
-WINDOW = "(?=([^ ]+(?: [^ ]+){4}))[^ ]+ ?"
+# A match consumes one word and captures it with the four that follow. It begins at a word's start and gives
+# nothing back, so that a long word is read once.
+WINDOW = "(?<![^ ])(?=([^ ]++(?: [^ ]++){4}))[^ ]++ ?"
 
 
 def line_fails(line: Column, rules: LineRules, has: Column) -> Column:
@@ -54,7 +63,8 @@ def line_fails(line: Column, rules: LineRules, has: Column) -> Column:
     share = lambda marks: F.regexp_count(line, F.lit(marks)) * 100
     dense = (has["symbol"] & (share(LINE_SYMBOLS) >= size * rules.symbol_percent)) | (has["shout"] & (share("[!?]") >= size * rules.shout_percent))
     punctuation = (short & ~line.rlike(ENDINGS)) | ((size >= 20) & dense)
-    return punctuation | (has["separator"] & line.rlike(SEPARATED)) | line.rlike(NAVIGATION) | (has["boilerplate"] & line.rlike(BOILERPLATE))
+    navigation = line.rlike(rf"^\W*+{ITEM}") & ~F.regexp_replace(line, ITEM, "").rlike(r"\w")
+    return punctuation | (has["separator"] & line.rlike(SEPARATED)) | (has["item"] & navigation) | (has["boilerplate"] & line.rlike(BOILERPLATE))
 
 
 def repeated_words(windows: Column, ranked: Column) -> Column:
@@ -74,7 +84,7 @@ def line_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "tex
     any_anchor = lower.contains(ANCHORS[0])
     for x in ANCHORS[1:]:
         any_anchor = any_anchor | lower.contains(x)
-    has = F.struct(body.rlike(LINE_SYMBOLS).alias("symbol"), body.rlike("[!?]").alias("shout"), body.rlike(SEPARATOR).alias("separator"), any_anchor.alias("boilerplate"))
+    has = F.struct(body.rlike(LINE_SYMBOLS).alias("symbol"), body.rlike("[!?]").alias("shout"), body.rlike(SEPARATOR).alias("separator"), body.rlike(rf"(?m)^[^\w\n]*+{ITEM}").alias("item"), any_anchor.alias("boilerplate"))
     norm = F.trim(F.regexp_replace(body, SPACE, " "))
     out = docs.withColumns({"_n": norm, "_x": F.regexp_count(body, F.lit(SYMBOLS)), "_has": has, "_l": F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     solid = F.length(F.replace("_n", F.lit(" "), F.lit("")))
