@@ -9,13 +9,16 @@ Counting is by (hash, owner, repository), then (hash, owner), then (hash), each
 that a value which a third of all rows hold shrinks before each exchange. Spans are found once and
 written to the shared folder without the texts.
 
-Defined cases: a null text is empty; null owners or repositories count as one unnamed owner or
-repository; repeated rows are rows of their own and give equal results; columns other than the ones
-named are never read.
+Defined cases: a null text is empty, and so is an empty one's list of spans; null owners or repositories
+count as one unnamed owner or repository; repeated rows are rows of their own and give equal results;
+spans of one start are listed by kind; all columns but the text are carried in a struct, so no name can
+clash. A very long text takes a few copies of itself in the task that has it, and time in proportion to
+its length; to a hundred thousand matches also in proportion to their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +32,17 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 PATTERNS = (("assign", ASSIGN, 1, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
+SECOND = 0x5EC0_4D
 MARKS = ("<secret>", "<copied-secret>")
 KINDS = ("assign", "access", "hex", "owned")
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|password|secret|your|test|xxxx|1234567890|abcdef)"
 
 
+SPANS = "array<struct<s:bigint,k:int,e:bigint,v:string>>"
+FULL = 64  # items that are added up one by one
+BLOCK = 1024  # characters in a block of a text
+
+
 @dataclass(frozen=True)
 class Ownership:
     max_owners: int = 1
@@ -42,27 +51,46 @@ class Ownership:
     min_distinct_chars: int = 8
 
 
-def spans_of(text: Column, kind: int) -> Column:
-    """Spans (s, k, e, v) of one kind: leftmost, non-overlapping, those too short dropped.
+def prefixes(df: DataFrame, columns: dict[str, str], add: Callable[[Column, Column], Column]) -> DataFrame:
+    """For each named array of numbers a column of what ``add`` makes of all items before each (0 before the first).
+
+    A fold that gathered them would copy the gathered ones at each step. Here items are added up within
+    blocks and blocks before them, all from columns: n items take n * FULL / 2 + (n / FULL) ** 2 / 2 steps.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), add)
+    within = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1)), F.lit(FULL)), lambda b: total(F.slice(c, b, FULL)))
+    before = lambda c: F.transform(c, lambda _, i: total(F.slice(c, F.lit(1), i)))
+    each = lambda c, starts: F.flatten(F.transform(starts, lambda s, i: F.transform(F.slice(c, i * FULL + 1, F.lit(FULL)), lambda _, j: add(s, total(F.slice(c, i * FULL + 1, j))))))
+    df = df.withColumns({f"_{out}": within(F.col(c)) for out, c in columns.items()})
+    df = df.withColumns({f"_{out}": before(F.col(f"_{out}")) for out in columns})
+    return df.withColumns({out: each(F.col(c), F.col(f"_{out}")) for out, c in columns.items()}).drop(*[f"_{out}" for out in columns])
+
+
+def with_spans(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Spans (s, k, e, v) of all kinds: of each leftmost, non-overlapping, those too short dropped.
 
     The pieces between the matches and the matches themselves alternate, so their lengths in code
     points add up to the matches' places.
     """
-    _, pattern, group, least = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    values = F.regexp_extract_all(text, F.lit(pattern), group) if group else found
-    none = F.array().cast("array<struct<s:bigint,k:int,e:bigint,v:string>>")
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("v"))
+    t, none = F.col(text), F.array().cast("array<string>")
+    kinds = range(len(PATTERNS))
+    some = lambda k, x: F.when(t.rlike(PATTERNS[k][1]), x).otherwise(none)
+    df = df.withColumns({f"_hit{k}": some(k, F.regexp_extract_all(t, F.lit(PATTERNS[k][1]), F.lit(0))) for k in kinds} | {f"_gap{k}": some(k, F.split(t, PATTERNS[k][1], -1)) for k in kinds} | {f"_val{k}": some(k, F.regexp_extract_all(t, F.lit(PATTERNS[k][1]), F.lit(PATTERNS[k][2]))) for k in kinds})
+    # Arrays go through lambdas side by side, not by name: a column named in one may be made anew for each item.
+    beside = lambda k, *names: F.arrays_zip(*[F.col(f"_{x}{k}").alias(x) for x in names])
+    # each match with the piece before it; the last piece has no match behind it
+    df = df.withColumns({f"_len{k}": F.transform(beside(k, "gap", "hit"), lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint")) for k in kinds})
+    df = prefixes(df, {f"_at{k}": f"_len{k}" for k in kinds}, lambda a, x: a + x)
+
+    def spans(k: int) -> Column:
+        def one(x: Column) -> Column:
+            end = x["at"] + x["len"]
+            return F.struct((end - F.length(x["hit"])).alias("s"), F.lit(k).alias("k"), end.alias("e"), x["val"].alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["v"].alias("v"))
-        # the piece after the last match has no match beside it
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(F.length(x["v"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.filter(F.transform(beside(k, "hit", "at", "len", "val"), one), lambda x: F.length(x["v"]) >= PATTERNS[k][3])
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), lambda a, x: step(a, x))["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    own = [f"_{x}{k}" for x in ("hit", "gap", "val", "len", "at") for k in kinds]
+    return df.withColumn(into, F.concat(*[spans(k) for k in kinds]).cast(SPANS)).drop(*own)
 
 
 def render(spans: Column) -> Column:
@@ -96,8 +124,8 @@ def scan(docs: DataFrame, owner: Column, repository: Column, rule: Ownership = O
     scratch = Scratch(docs.sparkSession, "secrets")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     name = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias
-    read = docs.select(F.struct(*rest).alias("row"), name(owner)("owner"), name(repository)("repository"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    base = read.select("row", "owner", "repository", F.concat(*[spans_of(F.col("t"), k) for k in range(len(PATTERNS))]).alias("base"))
+    read = docs.select(F.struct(*rest).alias("row"), name(owner)("owner"), name(repository)("repository"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    base = with_spans(read, "t", "base").select("row", "owner", "repository", "base")
     base = scratch.write(base.withColumn("id", F.monotonically_increasing_id()), "base")
     some = base.where(F.size("base") > 0)
     key = lambda x: F.sha2(x["v"], 256)
@@ -107,7 +135,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, rule: Ownership = O
     # the value ends where its match ends; kinds that overlap on one value report it once
     value = F.struct((F.col("x.e") - F.length("x.v")).alias("s"), F.lit(3).alias("k"), F.col("x.e").alias("e"), F.col("x.v").alias("v"))
     owned = live.join(one_owner, "h", "left_semi").groupBy("id").agg(F.collect_set(value).alias("owned"))
-    empty = F.array().cast("array<struct<s:bigint,k:int,e:bigint,v:string>>")
+    empty = F.array().cast(SPANS)
     with_owned = some.join(owned, "id", "left").select("row", "base", F.coalesce("owned", empty).alias("owned"))
     return with_owned.unionByName(base.where(F.size("base") == 0).select("row", "base", empty.alias("owned")))
 
@@ -116,24 +144,36 @@ def redacted(docs: DataFrame, owner: Column, repository: Column, rule: Ownership
     """``row``, a struct of the columns of ``docs``, and ``clean_text``, in which marks stand for the values found.
 
     Values of a single owner and copied ones have marks of their own. Only rows with candidates meet
-    in an exchange; all others pass through.
+    in an exchange, by 128 bits of hash over all their columns; all others pass through. Of values that
+    overlap the one that begins first is marked for all, of those that begin together the shortest.
     """
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    read = docs.select(F.struct(*cols).alias("row"), F.xxhash64(*cols).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), owner.alias("owner"), repository.alias("repository"))
-    found = scan(read.select("h", "text", "owner", "repository"), F.col("owner"), F.col("repository"), rule)
-    spans = found.where(F.size("base") > 0).select("row.h", "base", "owned").dropDuplicates(["h"])
+    read = docs.select(F.struct(*cols).alias("row"), F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(SECOND), *cols).alias("h2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), owner.alias("owner"), repository.alias("repository"))
+    found = scan(read.select("h", "h2", "text", "owner", "repository"), F.col("owner"), F.col("repository"), rule)
+    spans = found.where(F.size("base") > 0).select("row.h", "row.h2", "base", "owned").dropDuplicates(["h", "h2"])
     any_ = F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
-    some = read.where(any_).join(spans, "h", "left")
-    ranges = F.sort_array(F.array_distinct(F.transform(F.coalesce("base", F.array().cast("array<struct<s:bigint,k:int,e:bigint,v:string>>")), lambda x: F.struct((x["e"] - F.length(x["v"])).alias("s"), x["e"].alias("e")))))
-    piece = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
-
-    def step(acc: Column, x: Column) -> Column:
-        mark = F.when(F.exists(F.col("owned"), lambda o: (o["s"] == x["s"]) & (o["e"] == x["e"])), F.lit(MARKS[0])).otherwise(F.lit(MARKS[1]))
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], piece(acc["at"], x["s"] - acc["at"]), mark)).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
-
-    walked = F.aggregate("ranges", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step)
-    clean = some.withColumn("ranges", ranges).withColumn("w", walked).select("row", F.concat("w.out", piece(F.col("w.at"), F.length("text") - F.col("w.at"))).alias("clean_text"))
+    some = read.where(any_).join(spans, ["h", "h2"], "left")
+    # values of a single owner come before the same places as base spans, which then begin too early
+    place = lambda k: lambda x: F.struct((x["e"] - F.length(x["v"])).alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))
+    none = F.array().cast(SPANS)
+    ranges = F.sort_array(F.concat(F.transform(F.coalesce("base", none), place(1)), F.transform(F.coalesce("owned", none), place(0))))
+    # pieces are cut from blocks of the text, as a place in a text is found by walking to it
+    cut = some.withColumns({"ranges": ranges, "blocks": F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))})
+    block = lambda i: F.coalesce(F.get(F.col("blocks"), i.cast("int")), F.lit(""))
+    part = lambda x, a, n: F.substring(x, (a + 1).cast("int"), n.cast("int"))
+
+    def piece(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / BLOCK), F.floor(b / BLOCK)
+        whole = F.array_join(F.slice(F.col("blocks"), (i + 2).cast("int"), F.greatest(j - i - 1, F.lit(0)).cast("int")), "")
+        across = F.concat(part(block(i), a - i * BLOCK, F.lit(BLOCK)), whole, part(block(j), F.lit(0), b - j * BLOCK))
+        return F.when(i == j, part(block(i), a - i * BLOCK, b - a)).otherwise(across)
+
+    # ranges that overlap are one; each begins behind the end of all ranges before it
+    cut = prefixes(cut.withColumn("ends", F.transform("ranges", lambda x: x["e"])), {"upto": "ends"}, lambda a, x: F.greatest(a, x))
+    shown = F.filter(F.transform(F.arrays_zip(F.col("ranges").alias("r"), F.col("upto").alias("at")), lambda x: F.struct(x["r"]["s"].alias("s"), x["at"].alias("at"), x["r"]["k"].alias("k"))), lambda x: x["s"] >= x["at"])
+    cut = cut.withColumns({"shown": shown, "end": F.coalesce(F.array_max("ends"), F.lit(0))})
+    pieces = F.transform("shown", lambda x: F.concat(piece(x["at"], x["s"]), F.when(x["k"] == 0, F.lit(MARKS[0])).otherwise(F.lit(MARKS[1]))))
+    clean = cut.select("row", F.concat(F.array_join(pieces, ""), piece(F.col("end"), F.length("text"))).alias("clean_text"))
     return clean.unionByName(read.where(~any_).select("row", F.col(f"row.`{text}`").alias("clean_text")))
 
 
