@@ -5,6 +5,10 @@ sends one packed table of (hash, counts) to each of many hash ranges. A range ad
 sent and answers each block, but only where the corpus differs from the block itself: the many
 n-grams that no other block has need no answer. Tables are sorted, so hashes travel as small
 differences; each exchange has a few bytes for each distinct n-gram of a block, however often it occurs.
+
+Every block meets every range, so with blocks of a fixed size a table would get shorter as the input
+grows. Blocks and ranges grow with the input's square root instead, beyond a few gigabytes: a table
+keeps at least ``ROW_GRAMS`` n-grams. At 100 TB a block is about 150 MB, for which a worker needs some 2 GB.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from tidelog.llm.memory import give_back
 from tidelog.llm.words import pieces
 
-BLOCK_BYTES = 4 << 20
-RANGE_BYTES = 4 << 20  # input for each hash range, about
+LEAST = 4 << 20  # bytes of text for each block and each hash range, at least
+ROW_GRAMS = 32  # n-grams in a table, about, at least
+GRAM_BYTES = 7  # of text for each n-gram
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -55,15 +61,22 @@ def walk(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences, dtype=np.uint64)
 
 
-def ranges_for(docs: DataFrame) -> int:
-    """A power of two: hash ranges for an input of this many partitions."""
+def layout(docs: DataFrame, least: int = LEAST) -> tuple[int, int]:
+    """Hash ranges (a power of two), and bytes of text for each block, for an input of this many partitions."""
     conf = docs.sparkSession.conf
     size = conf.get("spark.sql.files.maxPartitionBytes")
     units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     number = size.lower().rstrip("b") or "0"
     most = int(number[:-1]) * units[number[-1]] if number[-1] in units else int(number)
-    n = max(docs.rdd.getNumPartitions() * max(1, most // RANGE_BYTES), int(conf.get("spark.sql.shuffle.partitions")))
-    return 1 << max(3, (n - 1).bit_length())
+    parts = docs.rdd.getNumPartitions()
+    return shape(parts * max(most, LEAST), int(conf.get("spark.sql.shuffle.partitions")), least)
+
+
+def shape(total: int, partitions: int, least: int = LEAST) -> tuple[int, int]:
+    """The same for an input of ``total`` bytes at most."""
+    root = int((total * ROW_GRAMS * GRAM_BYTES) ** 0.5)
+    n = max(total // max(LEAST, root), partitions)
+    return 1 << max(3, (n - 1).bit_length()), max(least, root)
 
 
 def split(sorted_: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
@@ -85,7 +98,7 @@ def block_number(k: int) -> int:
     return (TaskContext.get().partitionId() << 24) + k
 
 
-def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+def gathered(batches: Iterable[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.Table]:
     """Tables of about ``most`` bytes of text."""
     held, size = [], 0
     for batch in batches:
@@ -95,7 +108,7 @@ def gathered(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
             if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
-                pa.default_memory_pool().release_unused()
+                give_back()
     if held:
         yield pa.Table.from_batches(held)
 

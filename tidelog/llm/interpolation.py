@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.llm import blocks
+from tidelog.llm.memory import small_batches, tidy, tidy_group, tidy_pair
 from tidelog.llm.samples import remainder
 from tidelog.llm.scratch import Scratch
 from tidelog.llm.words import coded, hashes, joined, plain
@@ -47,7 +48,7 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(c, 0) + 1).astype(np.int64), BUCKETS - 1)
 
 
-BLOCK = 12 << 20
+BLOCK = 12 << 20  # bytes of text in a block, at least
 
 # Rows of packed tables: what a block asks of a range, and what it is answered.
 TABLE = "range int, block long, kind int, data binary"
@@ -88,22 +89,23 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, offsets, np.append(hashes(words), [END, START])
 
 
-def _ask(ranges: int):
+def _ask(ranges: int, most: int):
     """Texts to what their blocks ask of the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in enumerate(blocks.gathered(batches, most=BLOCK)):
+        for number, table in enumerate(blocks.gathered(batches, most)):
             block = blocks.block_number(number)
             codes, offsets, h = _tokens(table)
             w, v, owner = sequence(codes, offsets, len(h) - 2)
             for kind, g, t, held in _tables(w, v, table.column("role").to_numpy()[owner], h):
-                for at, s, e in blocks.split(g, ranges):
-                    yield pa.record_batch([[at], [block], [kind], [blocks.pack(blocks.steps(g[s:e]), t[s:e], held[s:e])]], schema=TABLE_SCHEMA)
+                made = [(at, blocks.pack(blocks.steps(g[s:e]), t[s:e], held[s:e])) for at, s, e in blocks.split(g, ranges)]
+                n = len(made)
+                yield pa.record_batch([pa.array([x for x, _ in made], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([x for _, x in made], pa.binary())], schema=TABLE_SCHEMA)
 
     return run
 
 
-def _keep(id_type: pa.DataType):
+def _keep(id_type: pa.DataType, most: int):
     """The same texts to their blocks' documents and word sequences: one row a block.
 
     Both passes read the same splits of the same table, so they cut it into the same blocks.
@@ -111,7 +113,7 @@ def _keep(id_type: pa.DataType):
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("roles", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in enumerate(blocks.gathered(batches, most=BLOCK)):
+        for number, table in enumerate(blocks.gathered(batches, most)):
             codes, offsets, h = _tokens(table)
             data = blocks.pack(codes.astype(np.uint64), h[:-2])
             yield pa.record_batch([[blocks.block_number(number)], [table.column("id").to_pylist()], [table.column("role").to_pylist()], [(np.diff(offsets) + 1).tolist()], [data]], schema=schema)
@@ -152,7 +154,7 @@ def _answer(table: pa.Table) -> pa.Table:
             d = differs[s:e]
             if d.any():
                 bits = np.packbits(np.append(d, np.zeros(-len(d) % 64, bool))).view("<u8")
-                out.append((at, block, which, blocks.pack(bits, totals[0][s:e][d], totals[1][s:e][d])))
+                out.append((at, block, which, blocks.pack(bits, totals[0][s:e][d], totals[1][s:e][d], g[s:e].sum(keepdims=True))))
     return pa.table([pa.array([x[c] for x in out], f.type) for c, f in enumerate(TABLE_SCHEMA)], schema=TABLE_SCHEMA)
 
 
@@ -190,9 +192,10 @@ def _met(ranges: int, id_type: pa.DataType):
             places = {at: (s, e) for at, s, e in blocks.split(g, ranges)}
             own = answers.filter(pa.array(kinds == which)) if answers.num_rows else answers
             for at, data in zip(own.column("range").to_pylist(), own.column("data").to_pylist(), strict=True):
-                bits, full, part = blocks.unpack(data)
-                s, e = places[at]
-                assert len(bits) == (e - s + 63) // 64, "the two readings cut the table into other blocks"
+                bits, full, part, asked = blocks.unpack(data)
+                s, e = places.get(at, (0, 0))
+                if len(bits) != (e - s + 63) // 64 or g[s:e].sum() != asked[0]:
+                    raise ValueError("the two readings of the table came in different orders; write it first")
                 place = s + np.flatnonzero(np.unpackbits(bits.view(np.uint8)))
                 t[place], held[place] = full, part
             counts[which] = g, t, held
@@ -249,13 +252,14 @@ def score(docs: DataFrame, role: object, id: str = "doc_id", text: str = "text")
     ``role``: a Column, 0 for documents that are scored only, 1 for counted ones, 2 for the held-out part of training.
     """
     scratch = Scratch(docs.sparkSession, "interpolation")
-    ranges = blocks.ranges_for(docs)
+    ranges, most = blocks.layout(docs, BLOCK)
     kind = docs.schema[id].dataType.simpleString()
     id_type = to_arrow_type(docs.schema[id].dataType)
     read = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), role.cast("int").alias("role"))
-    answers = read.mapInArrow(_ask(ranges), TABLE).groupBy("range").applyInArrow(_answer, TABLE)
-    kept = read.mapInArrow(_keep(id_type), f"block long, ids array<{kind}>, roles array<int>, ns array<long>, data binary")
-    met = scratch.write(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_met(ranges, id_type), _met_fields(kind)), "met")
+    answers = read.mapInArrow(tidy(_ask(ranges, most)), TABLE).groupBy("range").applyInArrow(tidy_group(_answer), TABLE)
+    kept = read.mapInArrow(tidy(_keep(id_type, most)), f"block long, ids array<{kind}>, roles array<int>, ns array<long>, data binary")
+    with small_batches(docs.sparkSession):
+        met = scratch.write(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_pair(_met(ranges, id_type)), _met_fields(kind)), "met")
     scratch.tidy()
     sums = {r.kind: (float(r.a or 0), float(r.b or 0)) for r in met.where(F.col("kind").isin(VOCABULARY, TOKENS)).groupBy("kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
     tokens, counted = sums.get(TOKENS, (0.0, 0.0))
@@ -278,7 +282,7 @@ def score(docs: DataFrame, role: object, id: str = "doc_id", text: str = "text")
                 lists = [batch.column(c)[k].values for c in ("ids", "roles", "ns", "known", "logs")]
                 yield pa.record_batch([*lists, pa.array(scores, pa.float64())], names=["id", "role", "n", "known", "logs", "score"])
 
-    out = met.where(F.col("kind") == DOCUMENTS).select("ids", "roles", "ns", "known", "logs", "data").mapInArrow(run, f"id {kind}, role int, n long, known long, logs double, score double")
+    out = met.where(F.col("kind") == DOCUMENTS).select("ids", "roles", "ns", "known", "logs", "data").mapInArrow(tidy(run), f"id {kind}, role int, n long, known long, logs double, score double")
     return out.withColumns({"train_tokens": F.lit(int(tokens)).cast("long"), "vocabulary": F.lit(int(vocabulary)).cast("long")})
 
 

@@ -11,12 +11,17 @@ Only n-grams that several documents have can be shared, so blocks of documents (
 the corpus frequency of those alone, and prefixes and intersections are computed from them: n-grams
 of one document count by number. Documents with equal sets are one class and are compared once.
 
-Classes that are candidates of each other, directly or through others, form families. A family is
-verified in chunks of bounded size, each pair of chunks by one task, which keeps a union-find so that
-pairs that are already connected are not verified again. No step emits all pairs of a group: tasks
-return links that span what they connected, and connected components of those are the answer.
-
-Defined cases: null and empty texts have an empty set and link with nothing, equal ones included; a
+Classes that are candidates of each other, directly or through others, form families. Most fit into a
+chunk and are verified by one task, which keeps a union-find so that pairs that are already connected
+are not verified again. A larger family is thinned out: chunks of it are verified, then one member of
+each component found, and so on while they get fewer; in the end only members of different components
+meet that share a first n-gram (or, where one component has all but a few chunks of a family, those few
+with all), each pair of chunks in one task. So a family of near copies costs in proportion to its size,
+and no link between different components is left out. No step emits all pairs of a group: tasks return
+links that span what they connected, and connected components of those are the answer.
+
+A very long text is one row in one block, which then is larger than others by as much; its task needs
+about ten times its size. Defined cases: null and empty texts have an empty set and link with nothing, equal ones included; a
 text of fewer words than ``words`` has its whole sequence as its only n-gram; repeated rows and equal
 texts are in one component, named by the smallest id; a null id is larger than any other.
 """
@@ -29,10 +34,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import blocks
+from tidelog.llm.memory import small_batches, tidy, tidy_group
 from tidelog.llm.scratch import Scratch
 from tidelog.llm.words import chained, coded, hashes, joined, mixed, plain
 
@@ -75,34 +81,42 @@ def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
-def _send(like: Likeness, ranges: int):
-    """Texts to rows for the ranges, and a row for each document."""
+def _send(like: Likeness, ranges: int, most: int):
+    """Texts to rows for the ranges, and a row for each distinct set of a block with all documents that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, table in enumerate(blocks.gathered(batches)):
+        for k, table in enumerate(blocks.gathered(batches, most)):
             block, n = blocks.block_number(k), table.num_rows
             owner, grams = ngram_sets(plain(table.column("text")), like.words)
             size = np.bincount(owner, minlength=n)
             a, b = _sums(mixed(grams), owner, n), _sums(mixed(grams ^ SECOND), owner, n)
             # of equal sets in a block one is sent
-            first = np.zeros(n, bool)
-            first[np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1]] = True
-            sent = first[owner]
-            owner, grams = owner[sent], grams[sent]
+            sets, first, which = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True, return_inverse=True)
+            which = which.ravel()
+            place = np.full(n, -1)
+            place[first] = np.arange(len(first))
+            owner = place[owner]
+            grams, owner = grams[owner >= 0], owner[owner >= 0]
             order = np.argsort(grams, kind="stable")
             owner, grams = owner[order].astype(np.uint64), grams[order]
-            signed = lambda x: pa.array(x.view(np.int64))
+            own = pa.array(np.argsort(which, kind="stable"))
+            edges = pa.array(np.append(0, np.cumsum(np.bincount(which, minlength=len(first)))).astype(np.int32))
+            listed = lambda c: pa.ListArray.from_arrays(edges, flat(table.column(c)).take(own))
+            signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+            schema = table_schema(table.schema.field("id").type)
             yield from pa.table(
-                blocks.rows(n, range=blocks.home(block, ranges), block=block, idx=pa.array(np.arange(n)), id=table.column("id"), mark=table.column("mark"), n=pa.array(size), a=signed(a), b=signed(b), data=None), schema=table_schema(table)
+                blocks.rows(len(first), range=blocks.home(block, ranges), block=block, idx=pa.array(np.arange(len(first))), ids=listed("id"), marks=listed("mark"), n=pa.array(size[first]), a=signed(sets[:, 0]), b=signed(sets[:, 1]), data=None), schema=schema
             ).to_batches()
-            for at, s, e in blocks.split(grams, ranges):
-                yield pa.record_batch(blocks.rows(1, range=at, block=block, idx=None, id=None, mark=None, n=None, a=None, b=None, data=blocks.pack(blocks.steps(grams[s:e]), owner[s:e])), schema=table_schema(table))
+            sent = [(at, blocks.pack(blocks.steps(grams[s:e]), owner[s:e])) for at, s, e in blocks.split(grams, ranges)]
+            yield pa.record_batch(
+                blocks.rows(len(sent), range=pa.array([x for x, _ in sent], pa.int32()), block=block, idx=None, ids=None, marks=None, n=None, a=None, b=None, data=pa.array([x for _, x in sent], pa.binary())), schema=schema
+            )
 
     return run
 
 
-def table_schema(table: pa.Table | pa.RecordBatch) -> pa.Schema:
-    types = {"range": pa.int32(), "block": pa.int64(), "idx": pa.int64(), "id": table.schema.field("id").type, "mark": pa.int64(), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "data": pa.binary()}
+def table_schema(id_type: pa.DataType) -> pa.Schema:
+    types = {"range": pa.int32(), "block": pa.int64(), "idx": pa.int64(), "ids": pa.list_(id_type), "marks": pa.list_(pa.int64()), "n": pa.int64(), "a": pa.int64(), "b": pa.int64(), "data": pa.binary()}
     return pa.schema(list(types.items()))
 
 
@@ -129,11 +143,11 @@ def _answer(table: pa.Table) -> pa.Table:
     n = len(data)
     if not n:
         return docs
-    made = pa.table(blocks.rows(n, range=0, block=pa.array([x[0] for x in data], pa.int64()), idx=None, id=None, mark=None, n=None, a=None, b=None, data=pa.array([x[1] for x in data], pa.binary())), schema=table.schema)
+    made = pa.table(blocks.rows(n, range=0, block=pa.array([x[0] for x in data], pa.int64()), idx=None, ids=None, marks=None, n=None, a=None, b=None, data=pa.array([x[1] for x in data], pa.binary())), schema=table.schema)
     return pa.concat_tables([docs, made])
 
 
-CANDIDATE = "a long, b long, n long, prefix int, shared array<long>, p1 array<long>"
+CANDIDATE = "a long, b long, n long, prefix int, shared array<long>, p1 array<long>, heads array<long>, ties array<struct<a: long, b: long>>"
 
 
 def _candidates(like: Likeness):
@@ -142,7 +156,8 @@ def _candidates(like: Likeness):
     def run(table: pa.Table) -> pa.Table:
         own = table.filter(pa.compute.is_null(table.column("data"))).sort_by("idx")
         data = [blocks.unpack(x) for x in table.column("data").to_pylist() if x is not None]
-        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("shared", "p1")]])
+        pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("prefix", pa.int32()), *[(k, pa.list_(pa.int64())) for k in ("shared", "p1", "heads")], ("ties", pa.list_(pair))])
         if not data or not own.num_rows:
             return kinds.empty_table()
         grams = np.concatenate([blocks.walk(d[0]) for d in data])
@@ -163,15 +178,31 @@ def _candidates(like: Likeness):
         place = np.arange(len(o)) - np.repeat(np.searchsorted(o, chosen), several[chosen])
         first = grams[order][place < left[o]]
         prefix = np.minimum(left, several)[chosen]
-        lists = [(grams[np.argsort(owner, kind="stable")], several[chosen]), (first, prefix)]
-        arrays = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(c)).astype(np.int32)), pa.array(g.view(np.int64))) for g, c in lists]
-        return pa.table([own.column(k).take(pa.array(chosen)) for k in ("a", "b", "n")] + [pa.array(prefix.astype(np.int32))] + arrays, schema=kinds)
+        # within the block each prefix n-gram ties its documents to the first of them, which alone stands for it outside
+        holder = np.repeat(np.arange(len(chosen)), prefix)
+        by = np.lexsort((holder, first))
+        g, h = first[by], holder[by]
+        new = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, bool)
+        centre = h[np.flatnonzero(new)][np.cumsum(new) - 1] if len(g) else h
+        heads, head_of = g[new], h[new]
+        tie = np.unique(h[~new] * len(chosen) + centre[~new])
+        tied, to = tie // max(len(chosen), 1), tie % max(len(chosen), 1)
+        lists = [(grams[np.argsort(owner, kind="stable")], several[chosen]), (first, prefix), (heads[np.argsort(head_of, kind="stable")], np.bincount(head_of, minlength=len(chosen)))]
+        offsets = lambda c: pa.array(np.append(0, np.cumsum(c)).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(offsets(c), pa.array(g.view(np.int64))) for g, c in lists]
+        a, b, size = (own.column(k).take(pa.array(chosen)).combine_chunks() for k in ("a", "b", "n"))
+        ends = pa.StructArray.from_arrays([flat(x).take(pa.array(to)) for x in (a, b)], fields=list(pair))
+        return pa.table([a, b, size, pa.array(prefix.astype(np.int32)), *arrays, pa.ListArray.from_arrays(offsets(np.bincount(tied, minlength=len(chosen))), ends)], schema=kinds)
 
     return run
 
 
+def flat(x: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+
+
 def _links(like: Likeness):
-    """Families in chunks: links that span what is connected."""
+    """Groups in chunks: links that span what is connected and was not known to be."""
     out = pa.schema([("u", pa.string()), ("v", pa.string())])
 
     def one(m: dict[str, list], flat: dict[str, tuple[np.ndarray, np.ndarray]], lo: int, hi: int, links: list[tuple[str, str]]) -> None:
@@ -183,7 +214,7 @@ def _links(like: Likeness):
             codes = np.unique(v, return_inverse=True)[1] if len(v) else v.astype(np.int64)
             parts[k] = codes, offsets[lo : hi + 1] - offsets[lo], np.zeros(codes.max(initial=-1) + 1, bool)
         count = hi - lo
-        label = np.arange(count)
+        label = np.unique(m["label"][lo:hi], return_inverse=True)[1]
         two = side.min() != side.max()
         for x in range(count - 1):
             y = np.arange(x + 1, count)
@@ -211,7 +242,7 @@ def _links(like: Likeness):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending"), ("key", "ascending")]).combine_chunks()
-        m = {"n": table.column("n").to_numpy(), "side": table.column("side").to_numpy(), "key": table.column("key").to_pylist()}
+        m = {"n": table.column("n").to_numpy(), "side": table.column("side").to_numpy(), "key": table.column("key").to_pylist(), "label": table.column("label").to_numpy()}
         flat = {}
         for k in ("shared", "p1"):
             lists = table.column(k).combine_chunks()
@@ -241,75 +272,158 @@ def _links(like: Likeness):
 def connected(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(node, label) of the nodes of edges (u, v): the smallest node that each reaches.
 
-    Each round takes the smallest label of the neighbours, then the label's own label; rounds grow
-    with the logarithm of the longest path. Labels stay in written tables.
+    In each round a node takes the smallest label of its neighbours, hands it to the node that was its
+    label (so that a whole tree hangs itself below a smaller one at once), then takes its label's own
+    label. Paths halve, so rounds grow with the logarithm of the longest one. Labels stay in written
+    tables. Minima have a partial form, and a hub's label meets its many edges in a plain join.
     """
     both = scratch.write(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{tag}-edges")
     labels = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("moved")), f"{tag}-0")
     k = 0
     while labels.where("moved").head(1):
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        done = step.join(jump, F.col("label") == F.col("at")).select("node", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("old")).alias("moved"))
+        own = labels.select("node", "label").join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        own = scratch.write(own, f"{tag}-near-{k}")
+        hung = own.where("label < old").select(F.col("old").alias("node"), "label").unionByName(own.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
+        far = hung.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        done = hung.join(far, F.col("label") == F.col("at")).select("node", F.least("label", "far").alias("label"))
+        before = own.select(F.col("node").alias("at"), "old")
+        done = done.join(before, F.col("node") == F.col("at")).select("node", "label", (F.col("label") != F.col("old")).alias("moved"))
         k += 1
         labels = scratch.write(done, f"{tag}-{k}")
         scratch.drop(f"{tag}-{k - 1}")
+        scratch.drop(f"{tag}-near-{k - 1}")
+    scratch.drop(f"{tag}-edges")
     return labels.select("node", "label")
 
 
+def _tasks(members: DataFrame, near: DataFrame, like: Likeness) -> DataFrame:
+    """Rows for ``_links`` of groups' members (family, key, label): those whose labels differ have to meet.
+
+    Groups of up to a chunk are dealt out together. Of a larger one, members of its largest label never
+    meet each other: they are cut into chunks of their own, which meet only the chunks of the others.
+    """
+    counts = members.groupBy("family", "label").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("family").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
+    sizes = sizes.where("labels > 1")
+    several = F.col("size") > like.chunk
+    cut = lambda n: F.ceil(n / like.chunk).cast("int")
+    tops = F.when(several & (F.col("most") > 1), cut(F.col("most"))).otherwise(F.lit(0))
+    rest = F.when(F.col("tops") > 0, cut(F.col("size") - F.col("most"))).otherwise(cut(F.col("size")))
+    sizes = sizes.withColumn("tops", tops).withColumn("rest", rest)
+    own = members.join(sizes, "family")
+    is_top = (F.col("tops") > 0) & (F.col("label") == F.col("top"))
+    placed = own.withColumn("own", F.when(is_top, F.pmod(F.xxhash64("key"), F.col("tops"))).otherwise(F.col("tops") + F.pmod(F.xxhash64("label"), F.col("rest"))).cast("int"))
+    first = F.when(F.col("own") < F.col("tops"), F.col("tops")).otherwise(F.lit(0))
+    placed = placed.withColumn("other", F.explode(F.sequence(first, F.col("tops") + F.col("rest") - 1)))
+    rows = placed.select("family", "key", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), F.when(several, F.col("family")).alias("large"))
+    deal = F.when(F.col("large").isNull(), F.pmod(F.xxhash64("family"), F.lit(1 << 20)))
+    return rows.withColumn("task", deal).join(near.select("key", "n", "prefix", "shared", "p1"), "key")
+
+
+LINK = "u string, v string"
+
+
+def _verified(tasks: DataFrame, like: Likeness, number: int) -> DataFrame:
+    """Links of rows from ``_tasks``; groups of up to a chunk share ``number`` tasks."""
+    tasks = tasks.withColumn("task", F.pmod("task", F.lit(max(1, number))))
+    return tasks.groupBy("task", "large", "i", "j").applyInArrow(tidy_group(_links(like)), LINK)
+
+
+def _family_links(near: DataFrame, families: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
+    """Links that span what is connected within families (key, family, size); ``near`` has a row for each key."""
+    whole = families.where(F.col("size") <= like.chunk).select("family", "key", F.col("key").alias("label"))
+    links = [scratch.write(_verified(_tasks(whole, near, like), like, families.count() // like.chunk * 4), "links")]
+    large = families.where(F.col("size") > like.chunk).select("key", "family")
+    if not large.head(1):
+        return links[0]
+    # large ones: chunks of them first, then one member of each component found, as long as that thins them out
+    large = scratch.write(large.withColumn("label", F.col("key")), "large-0")
+    k, left = 0, large.count()
+    while True:
+        heads = large.where("label = key")
+        dealt = heads.join(heads.groupBy("family").agg(F.ceil(F.count("*") / like.chunk).alias("parts")), "family")
+        groups = dealt.select(F.concat_ws("/", "family", F.pmod(F.xxhash64("key", F.lit(k)), F.col("parts")).cast("string")).alias("family"), "key", "label")
+        links.append(scratch.write(_verified(_tasks(groups, near, like), like, left // like.chunk * 4), f"links-{k}"))
+        made = connected(links[-1], scratch, f"thin-{k}")
+        found = large.join(made.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("key", "family", F.coalesce("new", "label").alias("label"))
+        k += 1
+        large = scratch.write(found, f"large-{k}")
+        scratch.drop(f"large-{k - 1}")
+        before, left = left, large.where("label = key").count()
+        if left * 2 > before:
+            break
+    # what may still be linked: in families that one component fills but for a few chunks, those few with all;
+    # in the others, what shares a first n-gram
+    counts = large.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family").agg((F.sum("c") - F.max("c")).alias("rest"), F.count("*").alias("labels"))
+    open_ = large.join(counts.where("labels > 1"), "family")
+    few = F.col("rest") <= like.chunk * 8
+    grams = open_.where(~few).join(near.select("key", F.explode("p1").alias("gram")), "key").select(F.concat_ws("/", "family", F.hex("gram")).alias("family"), "key", "label")
+    last = open_.where(few).select("family", "key", "label").unionByName(grams)
+    links.append(scratch.write(_verified(_tasks(last, near, like), like, left // like.chunk * 4), "links-last"))
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, mark, n, component) of each row: a hash of its text, its set's size, its component's smallest id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    ranges = blocks.ranges_for(docs)
+    ranges, most = blocks.layout(docs)
     read = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
-    schema = f"range int, block long, idx long, id {docs.schema[id].dataType.simpleString()}, mark long, n long, a long, b long, data binary"
-    found = scratch.write(read.mapInArrow(_send(like, ranges), schema).groupBy("range").applyInArrow(_answer, schema), "found")
+    schema = f"range int, block long, idx long, ids array<{docs.schema[id].dataType.simpleString()}>, marks array<long>, n long, a long, b long, data binary"
+    with small_batches(spark):
+        found = scratch.write(read.mapInArrow(tidy(_send(like, ranges, most)), schema).groupBy("range").applyInArrow(tidy_group(_answer), schema), "found")
     scratch.tidy()
-    rows = scratch.write(found.where(F.col("data").isNull()).select("id", "mark", "n", "a", "b"), "rows")
-    key = F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")).alias("key")
-    near = found.select("block", "idx", "n", "a", "b", "data").groupBy("block").applyInArrow(_candidates(like), CANDIDATE)
+    # a row for each block and distinct set: copies shrink before they meet
+    rows = scratch.write(found.where(F.col("data").isNull()).select("ids", "marks", "n", "a", "b"), "rows")
+    name = lambda x: F.concat(F.lpad(F.hex(x("a")), 16, "0"), F.lpad(F.hex(x("b")), 16, "0"))
+    key = name(F.col).alias("key")
+    near = found.select("block", "idx", "n", "a", "b", "data").groupBy("block").applyInArrow(tidy_group(_candidates(like)), CANDIDATE)
     near = scratch.write(near.select(key, "*"), "near")
     scratch.drop("found")
     scratch.tidy()
 
-    # families: each prefix n-gram ties its documents to the smallest of them
-    prefix = near.select("key", F.explode("p1").alias("gram"))
-    centre = prefix.groupBy("gram").agg(F.min("key").alias("c"))
-    ties = prefix.join(centre, "gram").where(F.col("key") != F.col("c")).select(F.col("key").alias("u"), F.col("c").alias("v")).distinct()
-    families = connected(ties, scratch, "family")
-    chunks = families.groupBy("label").agg(F.ceil(F.count("*") / like.chunk).cast("int").alias("chunks"))
-    families = scratch.write(families.join(chunks, "label").select(F.col("node").alias("key"), F.col("label").alias("family"), "chunks"), "families")
+    # families: each prefix n-gram ties its documents to the smallest of them, in each block and then of blocks
+    heads = near.select("key", F.explode("heads").alias("gram"))
+    centre = heads.groupBy("gram").agg(F.min("key").alias("c"))
+    far = heads.join(centre, "gram").where(F.col("key") != F.col("c")).select(F.col("key").alias("u"), F.col("c").alias("v"))
+    local = near.select(F.col("key").alias("u"), F.explode("ties").alias("t")).select("u", name(lambda c: F.col(f"t.{c}")).alias("v")).where("u != v")
+    families = connected(far.unionByName(local), scratch, "family")
+    sizes = families.groupBy("label").agg(F.count("*").alias("size"))
+    families = scratch.write(families.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("family"), "size"), "families")
     # equal sets of several blocks are one member
-    members = near.join(families, "key").dropDuplicates(["key"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # a pair of chunks is a group of its own; families of one chunk, which are many, are dealt out together
-    large = F.when(F.col("chunks") > 1, F.col("family")).alias("large")
-    tasks = members.select(large, "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "key", "n", "prefix", "shared", "p1")
-    n_tasks = max(1, families.count() // like.chunk) * 4
-    tasks = tasks.withColumn("task", F.when(F.col("large").isNull(), F.pmod(F.xxhash64("family"), F.lit(n_tasks))))
-    links = tasks.groupBy("task", "large", "i", "j").applyInArrow(_links(like), "u string, v string")
-    linked = connected(scratch.write(links, "links"), scratch, "component")
-
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"))
+    once = near.join(families.select("key"), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "shared", "p1")])
+    linked = connected(_family_links(scratch.write(once, "once"), families, like, scratch), scratch, "component")
+
+    some = rows.where("n > 0")
+    classes = some.groupBy("a", "b").agg(F.min(F.array_min("ids")).alias("first"))
     sets = near.select("key", "a", "b").distinct()
     named = linked.join(sets, F.col("node") == F.col("key")).join(classes, ["a", "b"])
     named = named.join(named.groupBy("label").agg(F.min("first").alias("component")), "label").select("a", "b", "component")
-    out = rows.join(classes, ["a", "b"], "left").join(named, ["a", "b"], "left")
-    return out.select("id", "mark", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "first")).alias("component"))
+    out = some.join(classes, ["a", "b"], "left").join(named, ["a", "b"], "left").select("ids", "marks", "n", F.coalesce("component", "first").alias("component"))
+    out = out.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("marks").alias("mark"))).alias("d"), "n", "component").select("d.id", "d.mark", "n", "component")
+    # a set of nothing links with nothing
+    none = rows.where("n = 0").select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("marks").alias("mark"))).alias("d"), "n").select("d.id", "d.mark", "n", F.col("d.id").alias("component"))
+    return out.unionByName(none)
 
 
 def deduplicated(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id, then of the smallest text hash."""
+    """``docs`` with one document of each component: that of the smallest id, then of the smallest text hash.
+
+    Rows that are equal down to id and text come once, that of the smallest hash of all columns; they
+    shrink before the exchange. Rows without words stay, all of them.
+    """
+    col = lambda c: F.col(f"`{c}`")
+    place = lambda i, mark: [F.coalesce(i.cast("string"), F.lit("")).alias("_i"), i.isNull().alias("_none"), mark.alias("_mark")]
     found = components(docs, like, id, text).where("n > 0")
-    kept = found.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.mark").alias("_mark"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_mark"), (F.length(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), r"[\x20\x09-\x0D]+", " "))) > 0).alias("some"))
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_mark"] == kept["_mark"])
-    joined_ = keyed.where("some").join(kept, same).select("row", keyed["_id"], keyed["_mark"])
-    # rows that are equal down to id and text come once
-    once = joined_.withColumn("k", F.row_number().over(Window.partitionBy("_id", "_mark").orderBy(F.lit(0)))).where("k = 1")
-    return once.select("row.*").unionByName(keyed.where("NOT some").select("row.*"))
+    kept = found.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k")).select(*place(F.col("k.id"), F.col("k.mark")))
+    word = col(text).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.select(F.struct(*map(col, docs.columns)).alias("row"), *place(col(id), F.xxhash64(col(text))), F.xxhash64(*map(col, docs.columns)).alias("_all"), F.coalesce(word, F.lit(False)).alias("_some"))
+    once = keyed.where("_some").groupBy("_i", "_none", "_mark").agg(F.min_by("row", "_all").alias("row"))
+    return once.join(kept, ["_i", "_none", "_mark"]).select("row.*").unionByName(keyed.where("NOT _some").select("row.*"))
 
 
 def ngram_query(docs: DataFrame) -> DataFrame:
