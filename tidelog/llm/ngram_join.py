@@ -42,6 +42,7 @@ from tidelog.llm.memory import small_batches, tidy, tidy_group
 from tidelog.llm.scratch import Scratch
 from tidelog.llm.words import chained, coded, hashes, joined, mixed, plain
 
+TOP = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 bits tell n-grams apart; the others would only travel
 SECOND, THIRD = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x1234567FEDCBA987)
 
 
@@ -50,7 +51,7 @@ class Likeness:
     words: int = 5
     num: int = 80
     den: int = 100
-    chunk: int = 2000  # members of a family in one chunk
+    chunk: int = 500  # members of a family in one chunk
 
 
 def ngram_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def ngram_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         docs.append(short)
         # the length sets these apart from full n-grams
         grams.append(joined(*(h[offsets[short] + k] for k in range(size)), np.full(len(short), size, np.uint64)))
-    owner, grams = np.concatenate(docs), np.concatenate(grams)
+    owner, grams = np.concatenate(docs), np.concatenate(grams) & TOP
     order = np.lexsort((grams, owner))
     owner, grams = owner[order], grams[order]
     keep = np.ones(len(owner), bool)
@@ -395,12 +396,15 @@ def components(docs: DataFrame, like: Likeness = Likeness(), id: str = "doc_id",
     sizes = families.groupBy("label").agg(F.count("*").alias("size"))
     families = scratch.write(families.join(sizes, "label").select(F.col("node").alias("key"), F.col("label").alias("family"), "size"), "families")
     # equal sets of several blocks are one member
-    once = near.join(families.select("key"), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "shared", "p1")])
-    linked = connected(_family_links(scratch.write(once, "once"), families, like, scratch), scratch, "component")
+    once = near.join(families.select("key"), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("a", "b", "n", "prefix", "shared", "p1")])
+    once = scratch.write(once, "once")
+    scratch.drop("near")
+    scratch.tidy()
+    linked = connected(_family_links(once, families, like, scratch), scratch, "component")
 
     some = rows.where("n > 0")
     classes = some.groupBy("a", "b").agg(F.min(F.array_min("ids")).alias("first"))
-    sets = near.select("key", "a", "b").distinct()
+    sets = once.select("key", "a", "b")
     named = linked.join(sets, F.col("node") == F.col("key")).join(classes, ["a", "b"])
     named = named.join(named.groupBy("label").agg(F.min("first").alias("component")), "label").select("a", "b", "component")
     out = some.join(classes, ["a", "b"], "left").join(named, ["a", "b"], "left").select("ids", "marks", "n", F.coalesce("component", "first").alias("component"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,10 @@ class Scratch:
 
     def tidy(self) -> None:
         """Let Spark delete shuffle files that nothing refers to any more; call it after a large table is written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first finds what held the files, the second the files; Spark deletes them meanwhile
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, tag: str) -> None:
         drop(self.spark, f"{self.path}/{tag}")
