@@ -14,7 +14,10 @@ themselves; so a window whose first and last tokens are the ones that stood ther
 of the text are cuts, so growth ends.
 
 Defined cases: a null text is an empty one and has no tokens; strings of added tokens are those
-tokens wherever they occur; repeated rows give equal rows. Memory is a batch of texts and its tokens.
+tokens wherever they occur; repeated rows give equal rows; a carried column may have any name but those
+of the results. Texts come as Arrow strings; bytes that are not UTF-8 fail there. Memory is a few
+megabytes of texts and their tokens, or one very long text and its tokens, some twenty times its size.
+The vocabulary's path must be readable on every node, as a package's data file is that all have installed.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tidelog.llm.memory import kept, tidy
 from tidelog.llm.words import pieces
 
 # Fixed value: the pattern that splits text before byte-level merges.
@@ -36,7 +40,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 LEAF = 4096
 FIRST_WINDOW = 32
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+HALVES = 2  # threads for the leaves of long texts, at least
 
 
 def _bytes_of_symbols() -> dict[str, int]:
@@ -103,7 +108,9 @@ class TreeBpe:
         for text in texts:
             parts = self.split.split(text) if self.split and any(t in text for t in self.added) else [text]
             plans.append([self.added[p] if p in self.added else self._halve(p, leaves) for p in parts if p])
-        encoded = self.core.encode_ordinary_batch(leaves, num_threads=self.threads)
+        # leaves of texts that were halved are encoded side by side; the encoder works outside the interpreter's lock
+        long = any(not isinstance(p, int) and len(p) > 1 for plan in plans for p in plan)
+        encoded = self.core.encode_ordinary_batch(leaves, num_threads=max(HALVES, self.threads) if long else self.threads)
         out = []
         for plan in plans:
             ids: list[int] = []
@@ -203,10 +210,11 @@ class TreeBpe:
         return self.core.decode_bytes(ids.tolist()).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str, leaf: int = LEAF) -> TreeBpe:
-    """One per Python worker."""
-    return TreeBpe(path, leaf)
+    """One per Python worker, which may use as many threads as its task has cores."""
+    context = TaskContext.get()
+    threads = context.cpus() if context is not None else 1
+    return kept(("bpe", path, leaf, threads), lambda: TreeBpe(path, leaf, threads))
 
 
 def encode(docs: DataFrame, path: str, leaf: int = LEAF, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -220,17 +228,20 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, text: str = "text", id:
                 yield pa.record_batch({"id": part.column("id"), "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array([tok.decode(x) for x in ids], pa.string())})
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(tidy(run), f"id {kind}, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, path: str, leaf: int = LEAF, columns: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` and the digest of op10: what ``encode`` gives, hashed where it is made."""
+    body = "_text"
+    while body in columns:
+        body += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, leaf)
         for batch in batches:
-            for part in pieces(batch, "_text", BATCH_BYTES):
-                ids = tok.encode_batch([x or "" for x in part.column("_text").to_pylist()])
+            for part in pieces(batch, body, BATCH_BYTES):
+                ids = tok.encode_batch([x or "" for x in part.column(body).to_pylist()])
                 made = {
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
@@ -239,7 +250,7 @@ def digest(docs: DataFrame, path: str, leaf: int = LEAF, columns: tuple[str, ...
                 yield pa.record_batch({c: part.column(c) for c in columns} | made)
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.selectExpr(*[f"`{c}`" for c in columns], f"`{text}` AS _text").mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr(*[f"`{c}`" for c in columns], f"`{text}` AS `{body}`").mapInArrow(tidy(run), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_query(docs: DataFrame, path: str) -> DataFrame:

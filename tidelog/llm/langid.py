@@ -8,10 +8,13 @@ The model is fitted on at most about ``quota`` training documents of each langua
 has a bound that does not grow with the corpus, and is broadcast. Prediction is one pass in Arrow
 batches; each distinct word of a batch is scored once.
 
+Words and n-grams that no language has at least twice are left out of the model.
+
 Defined cases: null texts and texts without any letter are ``und`` with score 0; where no word or
 character is known all languages tie and the first by name wins; ties go to the first by name; with
 no training rows every document is ``und``; repeated rows give equal results; language, source and id
-play no part in a prediction.
+play no part in a prediction, and other columns are not read. A very long text takes about ten times its
+size, and for each distinct word a row of the score table.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.memory import tidy
 from tidelog.llm.samples import remainder, sample_by_label
 from tidelog.llm.words import coded, pieces, plain
 
@@ -132,7 +136,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
                 yield pa.record_batch({"id": part.column("id"), "lang_pred": pa.array(np.where(has, names, UNKNOWN), pa.string()), "score": pa.array(np.where(has, share, 0.0), pa.float64())})
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double")
 
 
 def langid_query(docs: DataFrame, quota: int = 1000) -> DataFrame:

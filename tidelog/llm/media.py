@@ -8,7 +8,8 @@ come the hashes: the picture is reduced to 32 x 32, the 8 x 8 lowest frequencies
 transform are compared with their median, and the 64 bits are a binary column.
 
 Defined cases: a null text is an empty one, whose payload is 64 zero bytes; equal texts give equal
-values; every row gives one row. Memory is a batch of texts and one picture.
+values; every row gives one row, and other columns are not read; where frequencies tie with the median
+their bits are 0. Memory is a batch of texts and one picture: a very long text takes about eight times its size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm.memory import tidy
 from tidelog.llm.words import pieces
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -174,7 +176,7 @@ def store(docs: DataFrame, text: str = "text", id: str = "doc_id", media: bool =
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dct_hash", *(["media"] if media else [])]
     kind = docs.schema[id].dataType.simpleString()
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dct_hash binary" + ", media binary" * media
-    return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(run, f"id {kind}, {fields}")
+    return docs.selectExpr(f"`{id}` AS id", f"`{text}` AS text").mapInArrow(tidy(run), f"id {kind}, {fields}")
 
 
 def media_query(docs: DataFrame) -> DataFrame:
