@@ -70,12 +70,39 @@ def reduce_(df: DataFrame, value: Column | str, merge: Callable[[Column, Column]
     return out.select("key", F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), merge).alias(into))
 
 
-def running_reduce(df: DataFrame, value: Column | str, merge: Callable[[Column, Column], Column], key: Column | str = "key", order: Order = ARRIVAL, into: str = "agg") -> DataFrame:
-    """Each record with the fold of its key's values up to it."""
+def running_reduce(df: DataFrame, value: Column | str, merge: Callable[[object, object], object], result: str, key: Column | str = "key", order: Order = ARRIVAL, into: str = "agg") -> DataFrame:
+    """Each record with the fold of its key's values up to it, by any Python function; the first value is the first accumulator."""
+    return running_fold(df, value, lambda state, x: x if state is NOTHING else merge(state, x), result, key, order, into)
+
+
+NOTHING = "tidelog: nothing yet"
+
+
+def running_fold(df: DataFrame, value: Column | str, step: Callable[[object, object], object], result: str, key: Column | str = "key", order: Order = ARRIVAL, into: str = "agg", start: object = NOTHING) -> DataFrame:
+    """Each record with the accumulator after it: ``step(before, value)`` over its key's records in order, from ``start``.
+
+    A key's keys, values and places are folded in one task, in time in proportion to their number; where
+    a sum, count, maximum or minimum is meant, ``running`` has forms that split hot keys. Only what the
+    fold needs goes through Python; the records meet their results by place.
+    """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    w = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({"_k": group_key(col(key)), "_v": col(value)}).withColumn("_a", F.collect_list("_v").over(w))
-    return out.withColumn(into, F.aggregate(F.slice("_a", 2, F.greatest(F.size("_a") - 1, F.lit(0))), F.get("_a", F.lit(0)), merge)).drop("_k", "_v", "_a")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([c for c in rows.columns if c.startswith("_o")], kind="stable")
+        state, out = start, []
+        for x in rows["_v"].tolist():
+            state = step(state, x)
+            out.append(state)
+        return rows.drop(columns=["_k", "_v"]).assign(**{into: pd.Series(out, index=rows.index, dtype=object)})
+
+    places = [f"_o{k}" for k in range(len(order))]
+    need = df.select(group_key(col(key)).alias("_k"), col(value).alias("_v"), *[F.col(c).alias(o) for c, o in zip(order, places, strict=True)])
+    types = T.StructType([*[need.schema[o] for o in places], T.StructField(into, T._parse_datatype_string(result))])
+    made = need.groupBy("_k").applyInPandas(run, types)
+    same = F.lit(True)
+    for c, o in zip(order, places, strict=True):
+        same = same & F.equal_null(F.col(c), F.col(o))
+    return df.join(made, same).select(*df.columns, into)
 
 
 def fold(df: DataFrame, value: Column | str, start: Column, step: Callable[[Column, Column], Column], key: Column | str = "key", order: Order = ARRIVAL, into: str = "agg") -> DataFrame:
@@ -86,7 +113,7 @@ def fold(df: DataFrame, value: Column | str, start: Column, step: Callable[[Colu
     return out.select("key", F.aggregate(F.transform("_r", lambda r: r["_v"]), start, step).alias(into))
 
 
-def fold_python(df: DataFrame, step: Callable[[object, dict], object], result: str, key: str = "key", order: Order = ARRIVAL, into: str = "agg") -> DataFrame:
+def fold_python(df: DataFrame, step: Callable[[object, dict], object], result: str, key: Column | str = "key", order: Order = ARRIVAL, into: str = "agg") -> DataFrame:
     """The same with any Python function of (previous or None, record), a group at a time."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +123,7 @@ def fold_python(df: DataFrame, step: Callable[[object, dict], object], result: s
         return pd.DataFrame({"key": [rows["_k"].iloc[0]], into: [state]})
 
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField(into, T._parse_datatype_string(result))])
-    return df.withColumn("_k", group_key(key)).groupBy("_k").applyInPandas(run, schema)
+    return df.withColumn("_k", group_key(F.col(key) if isinstance(key, str) else key)).groupBy("_k").applyInPandas(run, schema)
 
 
 def latest(df: DataFrame, order: Order = ("offset",), by: Sequence[str] = (), tombstones: bool = False, empty_keys: bool = False) -> DataFrame:

@@ -19,8 +19,8 @@ def interval_join(left: DataFrame, right: DataFrame, window_ns: int, how: str =
     """
     pack = lambda df: F.struct(*df.columns)
     span = max(window_ns, 1)
-    l = left.select(pack(left).alias("left"), group_key().alias("_k"), F.floor(F.col("ts_ns") / span).cast("long").alias("_b"), F.monotonically_increasing_id().alias("_lid"))
-    r = right.select(pack(right).alias("right"), group_key().alias("_k"), F.floor(F.col("ts_ns") / span).cast("long").alias("_b"), F.monotonically_increasing_id().alias("_rid"))
+    l = left.select(pack(left).alias("left"), group_key().alias("_k"), F.floor(F.col("ts_ns") / span).cast("long").alias("_b"))
+    r = right.select(pack(right).alias("right"), group_key().alias("_k"), F.floor(F.col("ts_ns") / span).cast("long").alias("_b"))
     near = F.abs(F.col("left.ts_ns") - F.col("right.ts_ns")) <= window_ns
     if not bucketed:
         a, b = l.drop("_b").alias("a"), r.drop("_b").alias("b")
@@ -32,10 +32,13 @@ def interval_join(left: DataFrame, right: DataFrame, window_ns: int, how: str =
     out = l.join(near_b, (l["_k"] == near_b["_k"]) & (l["_b"] == near_b["_b"]) & near, "left").select("left", "right")
     if how == "left":
         return out
-    # a right record is alone where no left one of its three buckets is near
-    hit = near_b.join(l, (near_b["_k"] == l["_k"]) & (near_b["_b"] == l["_b"]) & near, "left").groupBy("_rid").agg(F.max(F.col("left").isNotNull()).alias("hit"), F.first("right").alias("right"))
+    # a right record is alone where no left one of the three buckets around its own is near
+    around = l.withColumn("_b", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)))
+    x, y = r.alias("x"), around.alias("y")
+    close = (F.col("x._k") == F.col("y._k")) & (F.col("x._b") == F.col("y._b")) & (F.abs(F.col("y.left.ts_ns") - F.col("x.right.ts_ns")) <= window_ns)
+    alone = x.join(y, close, "left_anti").select("right")
     empty = F.lit(None).cast(l.schema["left"].dataType)
-    return out.unionByName(hit.where(~F.col("hit")).select(empty.alias("left"), "right"))
+    return out.unionByName(alone.select(empty.alias("left"), "right"))
 
 
 def table_join(stream: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.routing import partition_for
 from tidelog.model import no_headers, record
+from tidelog.operators.ordered import arrival_index
 
 PART = ("topic", "partition")
 
@@ -45,6 +46,46 @@ def fetch(df: DataFrame, partition: int, offset: int) -> DataFrame:
     return assign(df, partition, offset).orderBy("offset").limit(1)
 
 
+def seek(df: DataFrame, to: DataFrame | None = None, where: str = "begin") -> DataFrame:
+    """Records from a place in each partition: given (topic, partition, offset), or the begin, or the end of the log.
+
+    The end is that of the records there are now: nothing is left to read until more come.
+    """
+    if to is not None:
+        return df.join(to.select(*PART, F.col("offset").alias("_from")), list(PART), "left").where(F.col("offset") >= F.coalesce("_from", F.lit(0))).select(*df.columns)
+    if where not in ("begin", "end"):
+        raise ValueError("seek to begin or end, or to given offsets")
+    return df if where == "begin" else tail(df, high_water(df))
+
+
+def without(df: DataFrame, paused: Sequence[tuple[str, int]]) -> DataFrame:
+    """Records of all partitions but the paused ones, which keep their position."""
+    held = F.lit(False)
+    for topic, partition in paused:
+        held = held | ((F.col("topic") == topic) & (F.col("partition") == partition))
+    return df.where(~held)
+
+
+def poll(df: DataFrame, starts: DataFrame | None, most: int, order: Sequence[str] = ("ts_ns", "topic", "partition", "offset")) -> DataFrame:
+    """The next ``most`` records at most, in arrival order, after committed (topic, partition, next_offset)."""
+    return subscribe(df, starts=starts).orderBy(*order).limit(max(0, most))
+
+
+def position(read: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(topic, partition, next_offset) after the records of a poll; where it has none, the start."""
+    after = read.groupBy(*PART).agg((F.max("offset") + 1).alias("_after"))
+    if starts is None:
+        return after.withColumnRenamed("_after", "next_offset")
+    return starts.join(after, list(PART), "full_outer").select(*PART, F.coalesce("_after", "next_offset").alias("next_offset"))
+
+
+def consume(df: DataFrame, committed: DataFrame | None, most: int, where: str = "begin") -> tuple[DataFrame, DataFrame]:
+    """What a group's member reads, and the offsets to commit: from its own ones, or from ``where`` without any."""
+    start = df if committed is not None else seek(df, where=where)
+    read = poll(start, committed, most)
+    return read, position(read, committed)
+
+
 def tail(df: DataFrame, after: DataFrame) -> DataFrame:
     """Records after a snapshot of ends (topic, partition, high_water)."""
     return df.join(after, list(PART), "left").where(F.col("offset") >= F.coalesce("high_water", F.lit(0))).select(*df.columns)
@@ -67,6 +108,11 @@ def lag(ends: DataFrame, committed: DataFrame) -> DataFrame:
     return out.select("group", *PART, F.coalesce("next_offset", F.lit(-1)).alias("committed"), F.coalesce("high_water", F.lit(-1)).alias("high_water"), F.when(known, F.col("high_water") - F.col("next_offset")).otherwise(-1).alias("lag"))
 
 
+def total_lag(lags: DataFrame) -> DataFrame:
+    """(group, lag) over all partitions whose lag is known."""
+    return lags.where("lag >= 0").groupBy("group").agg(F.sum("lag").alias("lag"))
+
+
 # -- maintenance
 def segments(df: DataFrame, records: int) -> Column:
     """A segment number for each record: so many offsets each."""
@@ -108,16 +154,27 @@ def retain_size(df: DataFrame, max_bytes: int, segment: Column) -> DataFrame:
 
 
 # -- writes
-def append(topic: str, rows: DataFrame, partitions: int, ends: DataFrame, order: Sequence[str], now_ns: Column | None = None) -> DataFrame:
+Partitioner = Callable[[DataFrame, int], Column]
+
+
+def append(topic: str, rows: DataFrame, partitions: int, ends: DataFrame, order: Sequence[str], now_ns: Column | None = None, partitioner: Partitioner | None = None) -> DataFrame:
     """Records for new rows (key, value[, headers, ts_ns]) of a topic: routed, with dense offsets after ``ends``.
 
-    Keyless rows take partitions in turn. A time of null or 0 is stamped ``now_ns``.
+    Keyless rows take partitions in turn; a ``partitioner`` of one's own gives a column of partition numbers
+    from the rows and the number of partitions instead. A time of null or 0 is stamped ``now_ns``. Turns and
+    offsets are counted by stretches of the first order column, never in one task.
     """
-    turn = F.pmod(F.row_number().over(Window.partitionBy((F.octet_length("key") > 0)).orderBy(*order)) - 1, F.lit(partitions))
-    placed = rows.withColumn("_p", partition_for("key", partitions, turn))
+    if partitioner is not None:
+        at = partitioner(rows, partitions)
+        placed = rows.withColumn("_p", F.when((at >= 0) & (at < partitions), at).otherwise(F.raise_error(F.lit("a partitioner's number is out of range")).cast("int")).cast("int"))
+    else:
+        keyed = F.coalesce(F.octet_length("key") > 0, F.lit(False))
+        turns = arrival_index(rows.where(~keyed), order, into="_turn")
+        placed = rows.where(keyed).withColumn("_turn", F.lit(0).cast("long")).unionByName(turns)
+        placed = placed.withColumn("_p", partition_for("key", partitions, F.pmod("_turn", F.lit(partitions)))).drop("_turn")
     known = ends.where(F.col("topic") == topic).select(F.col("partition").alias("_e"), "high_water")
-    placed = placed.join(known, F.col("_p") == F.col("_e"), "left")
-    offset = F.coalesce("high_water", F.lit(0)) + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    placed = arrival_index(placed, order, into="_place", by=("_p",)).join(known, F.col("_p") == F.col("_e"), "left")
+    offset = F.coalesce("high_water", F.lit(0)) + F.col("_place")
     stamp = now_ns if now_ns is not None else F.unix_micros(F.current_timestamp()) * 1000
     given = F.col("ts_ns") if "ts_ns" in rows.columns else F.lit(None)
     heads = F.col("headers") if "headers" in rows.columns else no_headers()
@@ -128,8 +185,9 @@ def append_batch(topic: str, rows: DataFrame, partitions: int, ends: DataFrame,
     """The same for a batch that stays together: all rows go to the first row's partition, with contiguous offsets."""
     first = rows.agg(F.min_by("key", F.struct(*order)).alias("_key")).select(partition_for("_key", partitions, F.lit(0)).alias("_p"))
     known = ends.where(F.col("topic") == topic).select(F.col("partition").alias("_e"), "high_water")
+    # one row
     start = first.join(known, F.col("_p") == F.col("_e"), "left").select("_p", F.coalesce("high_water", F.lit(0)).alias("_h"))
-    placed = rows.join(F.broadcast(start), F.lit(True)).withColumn("_o", F.col("_h") + F.row_number().over(Window.orderBy(*order)) - 1)
+    placed = arrival_index(rows, order, into="_place").join(F.broadcast(start), F.lit(True)).withColumn("_o", F.col("_h") + F.col("_place"))
     heads = F.col("headers") if "headers" in rows.columns else no_headers()
     return record(placed, topic=F.lit(topic), partition=F.col("_p"), offset=F.col("_o"), ts_ns=now_ns, headers=heads)
 

@@ -13,22 +13,29 @@ from tidelog.model import ARRIVAL
 Order = Sequence[str]
 
 
-def arrival_index(df: DataFrame, order: Order = ARRIVAL, rows: int = 200_000, into: str = "idx") -> DataFrame:
-    """``df`` with each record's place in arrival order, from 0, without one task that sees all.
+def arrival_index(df: DataFrame, order: Order = ARRIVAL, rows: int = 200_000, into: str = "idx", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with each record's place in arrival order (within its group of ``by``), from 0, without one task that sees all.
 
-    Records are dealt into stretches of the first order column, counted, and numbered within. The counts
-    are one row a stretch. Records with one value of that column stay together.
+    Records are dealt into stretches of the first order column, a whole number or a time, counted, and
+    numbered within. The counts are one row a stretch. Records with one value of that column stay together;
+    other kinds of columns are numbered by group in one task each. The column's range is read at once.
     """
-    first = F.col(order[0])
+    kind = df.schema[order[0]].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "timestamp"):
+        return df.withColumn(into, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    first = F.unix_micros(F.col(order[0])) if kind == "timestamp" else F.col(order[0]).cast("long")
     span = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count("*").alias("n")).first()
-    if not span.n or span.lo is None or not isinstance(span.lo, int):
-        return df.withColumn(into, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    width = max(1, (span.hi - span.lo + 1) * rows // max(span.n, 1))
-    placed = df.withColumn("_stretch", F.coalesce(F.floor((first - span.lo) / width), F.lit(-1)).cast("long"))
-    counts = placed.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    before = counts.select("_stretch", (F.sum("_n").over(Window.orderBy("_stretch")) - F.col("_n")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_stretch").orderBy(*order)) - 1
-    return placed.withColumn("_local", local).join(before, "_stretch").withColumn(into, (F.col("_before") + F.col("_local")).cast("long")).drop("_stretch", "_before", "_local")
+    lo = span.lo or 0
+    width = max(1, ((span.hi or 0) - lo + 1) * rows // max(span.n, 1))
+    placed = df.withColumn("_stretch", F.coalesce(F.floor((first - lo) / width), F.lit(-1)).cast("long"))
+    counts = placed.groupBy(*by, "_stretch").agg(F.count("*").alias("_n"))
+    before = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_stretch").alias("_s"), (F.sum("_n").over(Window.partitionBy(*by).orderBy("_stretch")) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*by, "_stretch").orderBy(*order)) - 1
+    same = F.col("_stretch") == F.col("_s")
+    for c in by:
+        same = same & F.equal_null(F.col(c), F.col(f"_by_{c}"))
+    out = placed.withColumn("_local", local).join(before, same)
+    return out.withColumn(into, (F.col("_before") + F.col("_local")).cast("long")).drop("_stretch", "_s", "_before", "_local", *[f"_by_{c}" for c in by])
 
 
 def take(df: DataFrame, n: int, order: Order = ARRIVAL) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,3 +136,18 @@ def safely(df: DataFrame, result: str, value: Callable[[DataFrame], Column], err
     good = made.where(F.col("_made").isNotNull()).withColumn(result, F.col("_made")).drop("_made")
     bad = made.where(F.col("_made").isNull()).withColumn("error", error).drop("_made")
     return good, bad
+
+
+def applied(df: DataFrame, f: Callable[[bytes | None], bytes | None], on: str = "value") -> DataFrame:
+    """``df`` with ``_made``, what ``f`` gives for each record's value, or the error that it raised."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            try:
+                out.append((f(v), None))
+            except Exception as e:  # the record's own failure, which goes along with it
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["value", "error"])
+
+    return df.withColumn("_made", F.pandas_udf(run, "value binary, error string")(on))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.model import group_key
+from tidelog.model import WINDOW_END, WINDOW_START, encode_be64, group_key, no_headers, record, with_header
 
 Aggs = Sequence[Column]
 
@@ -106,3 +106,27 @@ def watermark(df: DataFrame, idle_ns: int | None = None, last_arrival_ns: Column
 def closed(made: DataFrame, at: DataFrame) -> DataFrame:
     """Windows whose end the watermark has reached."""
     return made.join(F.broadcast(at.select(F.col("watermark_ns").alias("_wm"))), F.col("window_end_ns") <= F.col("_wm")).drop("_wm")
+
+
+def emitted(made: DataFrame, value: Column | str = "count", topic: str = "windows") -> DataFrame:
+    """Records of windows: the key, the value as eight bytes, the window's start and end as headers of eight bytes, its end as time."""
+    v = F.col(value) if isinstance(value, str) else value
+    heads = with_header(WINDOW_END, encode_be64("window_end_ns"), with_header(WINDOW_START, encode_be64("window_start_ns"), no_headers()))
+    return record(made, topic=F.lit(topic), key=F.col("key"), value=encode_be64(v), ts_ns=F.col("window_end_ns"), headers=heads)
+
+
+def punctuations(df: DataFrame, every_ns: int, key: Column | str | None = None) -> DataFrame:
+    """(at_ns, records[, key]): what a function that is called each time event time passes a multiple of ``every_ns`` would see.
+
+    The calls are those between the first and the last record's time; ``records`` is how many came before
+    or at each, of each key where one is given. Records shrink to counts of stretches before they meet.
+    """
+    by = [] if key is None else [group_key(key).alias("key")]
+    names = [] if key is None else ["key"]
+    step = (F.floor((F.col("ts_ns") + every_ns - 1) / every_ns) * every_ns).cast("long")
+    counts = df.groupBy(*by, step.alias("_at")).agg(F.count("*").alias("_n"))
+    last = df.agg((F.floor(F.max("ts_ns") / every_ns) * every_ns).cast("long").alias("_last"))
+    upto = Window.partitionBy(*names).orderBy("_at")
+    spans = counts.withColumns({"records": F.sum("_n").over(upto), "_next": F.lead("_at").over(upto)}).join(F.broadcast(last))
+    spans = spans.withColumn("_to", F.least(F.coalesce(F.col("_next") - every_ns, F.col("_last")), F.col("_last"))).where("_at <= _to")
+    return spans.select(*names, F.explode(F.sequence("_at", "_to", F.lit(every_ns).cast("long"))).alias("at_ns"), "records")

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import model
-from tidelog.operators import aggregate, joins, ordered, stateless, windows
+from tidelog.operators import aggregate, joins, log, ordered, stateless, windows
+from tidelog.sources.topics import Catalog
 
 Expr = Column | str
 
@@ -34,11 +35,25 @@ class Topology:
     tables: dict[str, KTable] = field(default_factory=dict)
     letters: list[DataFrame] = field(default_factory=list)
     actions: list[tuple[DataFrame, Callable[[DataFrame], None]]] = field(default_factory=list)
+    catalog: Catalog | None = None
+    group: str | None = None
+    ends: DataFrame | None = None
+
+    @classmethod
+    def on(cls, catalog: Catalog, group: str, *topics: str, timestamp: Column | None = None) -> Topology:
+        """A topology whose sources are a catalog's topics, from what the group has committed up to their present ends."""
+        records = catalog.read(*topics)
+        # a row a partition: fixed now, so that what is read later is what is committed
+        ends = records.sparkSession.createDataFrame([tuple(r) for r in log.high_water(records).collect()], "topic string, partition int, high_water long")
+        known = records.join(F.broadcast(ends), list(log.PART)).where(F.col("offset") < F.col("high_water")).drop("high_water")
+        new = log.subscribe(known, starts=catalog.committed(group).select("topic", "partition", "next_offset"))
+        return cls({t: new.where(F.col("topic") == t) for t in topics}, timestamp=timestamp, catalog=catalog, group=group, ends=ends)
 
     def stream(self, topic: str) -> Stream:
         df = self.sources[topic] if topic in self.sources else self._sunk(topic)
         if self.timestamp is not None:
-            df = df.withColumn("ts_ns", self.timestamp)
+            df = df.withColumn("ts_ns", self.timestamp.cast("long"))
+            df = df.withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")))
         return Stream(self, df)
 
     def _sunk(self, topic: str) -> DataFrame:
@@ -74,6 +89,23 @@ class Topology:
             out["dead_letters"] = dead
         return out
 
+    def run_on_catalog(self, partitions: int = 1, now_ns: Column | None = None, partitioner: log.Partitioner | None = None) -> None:
+        """Write all sinks, tables and dead letters to their topics, which are made where there are none, then commit the group's offsets.
+
+        A table's changes go to the topic ``NAME-changelog``. A run that fails before the commit is run again
+        from the same offsets: what it wrote before comes twice, as everywhere where delivery is at least once.
+        """
+        catalog = self.catalog
+        if catalog is None:
+            raise ValueError("run_on_catalog needs a topology that Topology.on has made")
+        out = self.run() | {f"{name}-changelog": t.changes for name, t in self.tables.items() if name not in self.sources}
+        there = {t.name for t in catalog.list()}
+        for name, df in out.items():
+            if name not in there:
+                catalog.create(name, partitions)
+            catalog.produce(name, df, list(self.order), now_ns, partitioner)
+        catalog.commit(self.group, self.ends.select("topic", "partition", F.col("high_water").alias("next_offset")))
+
 
 @dataclass(frozen=True)
 class KTable:
@@ -151,6 +183,18 @@ class Stream:
         self.top.letters.append(bad)
         return self._next(made.where("_made IS NOT NULL").withColumn("value", F.col("_made")).drop("_made"))
 
+    def apply(self, f: Callable[[bytes | None], bytes | None], on_error: str = "dead_letter") -> Stream:
+        """Map values by any Python function. Where it raises: dead_letter (with the error as a header), skip or fail."""
+        made = stateless.applied(self.df, f)
+        if on_error == "fail":
+            made = made.where(F.when(F.col("_made.error").isNotNull(), F.raise_error(F.col("_made.error")).cast("boolean")).otherwise(True))
+        elif on_error == "dead_letter":
+            bad = made.where("_made.error IS NOT NULL").withColumn("headers", model.with_header(model.ERROR, F.encode("_made.error", "UTF-8"))).drop("_made")
+            self.top.letters.append(bad)
+        elif on_error != "skip":
+            raise ValueError("on_error is dead_letter, skip or fail")
+        return self._next(made.where("_made.error IS NULL").withColumn("value", F.col("_made.value")).drop("_made"))
+
     # -- arrival order
     def take(self, n: int) -> Stream:
         return self._next(ordered.take(self.df, n, self.top.order))
@@ -249,8 +293,13 @@ class Grouped:
     def min(self, value: Expr, stretch: int | None = None) -> Stream:
         return self._running("min", value, stretch)
 
-    def reduce(self, value: Expr, merge: Callable[[Column, Column], Column]) -> Stream:
-        return self.stream._next(aggregate.running_reduce(self.stream.df, stateless.column(value), merge, self._key(), self.stream.top.order))
+    def reduce(self, value: Expr, merge: Callable[[object, object], object], result: str = "string") -> Stream:
+        """By any Python function of (accumulator, value)."""
+        return self.stream._next(aggregate.running_reduce(self.stream.df, stateless.column(value), merge, result, self._key(), self.stream.top.order))
+
+    def aggregate_changes(self, value: Expr, step: Callable[[object, object], object], start: object, result: str) -> Stream:
+        """The same from ``start``."""
+        return self.stream._next(aggregate.running_fold(self.stream.df, stateless.column(value), step, result, self._key(), self.stream.top.order, start=start))
 
     # tables: a row for each key
     def final(self, how: str, value: Expr | None = None) -> DataFrame:
@@ -263,18 +312,26 @@ class Grouped:
         return aggregate.fold(self.stream.df, stateless.column(value), start, step, self._key(), self.stream.top.order)
 
     def aggregate_python(self, step: Callable[[object, dict], object], result: str) -> DataFrame:
-        return aggregate.fold_python(self.stream.df, step, result, order=self.stream.top.order)
+        return aggregate.fold_python(self.stream.df, step, result, self._key(), self.stream.top.order)
 
     # windows
+    def _replayed(self, late: str, aggs: Sequence[Column] | None, size_ns: int, advance_ns: int | None) -> DataFrame | None:
+        """Each partition's emissions in the order of its offsets, where late records are to be emitted again."""
+        if late not in ("drop", "reemit"):
+            raise ValueError("late is drop or reemit")
+        if late == "drop":
+            return None
+        if aggs:
+            raise ValueError("emissions are counted anew for counts alone")
+        return windows.replay(self.stream.df.withColumn("key", self._key()), size_ns, advance_ns)
+
     def tumbling(self, size_ns: int, aggs: Sequence[Column] | None = None, late: str = "drop") -> DataFrame:
-        if late == "reemit":
-            return windows.replay(self.stream.df, size_ns)
-        return windows.tumbling(self.stream.df, size_ns, aggs, self._key())
+        again = self._replayed(late, aggs, size_ns, None)
+        return again if again is not None else windows.tumbling(self.stream.df, size_ns, aggs, self._key())
 
     def hopping(self, size_ns: int, advance_ns: int, aggs: Sequence[Column] | None = None, late: str = "drop") -> DataFrame:
-        if late == "reemit":
-            return windows.replay(self.stream.df, size_ns, advance_ns)
-        return windows.hopping(self.stream.df, size_ns, advance_ns, aggs, self._key())
+        again = self._replayed(late, aggs, size_ns, advance_ns)
+        return again if again is not None else windows.hopping(self.stream.df, size_ns, advance_ns, aggs, self._key())
 
     def session(self, gap_ns: int, aggs: Sequence[Column] | None = None) -> DataFrame:
         return windows.session(self.stream.df, gap_ns, aggs, self._key())

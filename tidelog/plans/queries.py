@@ -157,6 +157,25 @@ def dead_letters(spark, d):
     return view(out["ok"], off="offset", state=F.lit("ok"), v=model.text("value")).unionByName(view(out["dead_letters"], off="offset", state=F.lit("dead"), v=model.text(model.header(model.ERROR))))
 
 
+@query(with_e("SELECT off, CASE WHEN num % 10 <> 0 THEN 'ok' ELSE 'dead' END AS state, CASE WHEN num % 10 <> 0 THEN CAST(100 // (num % 10) AS VARCHAR) ELSE 'ZeroDivisionError' END AS v FROM e"))
+def error_handler(spark, d):
+    def tenth(value: bytes) -> bytes:
+        import re
+
+        return str(100 // (int(re.search(rb"-?\d+", value)[0]) % 10)).encode()
+
+    top = Topology({"events": events(spark, d)})
+    top.stream("events").apply(tenth).to("ok")
+    out = top.run()
+    error = F.substring_index(model.text(model.header(model.ERROR)), ":", 1)
+    return view(out["ok"], off="offset", state=F.lit("ok"), v=model.text("value")).unionByName(view(out["dead_letters"], off="offset", state=F.lit("dead"), v=error))
+
+
+@query(with_e("SELECT off FROM e"))
+def peek(spark, d):
+    return view(stream(spark, d).peek("seen").df, off="offset")
+
+
 @query(with_e("SELECT off, event_type || '!' AS v FROM e WHERE event_type = 'signup'"))
 def through(spark, d):
     top = Topology({"events": events(spark, d)})
@@ -191,7 +210,11 @@ def distinct_first(spark, d):
     return view(stream(spark, d).distinct().df, user_id=user(), off="offset")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({E}), q AS (SELECT row_number() OVER (ORDER BY off) AS i, off, ts_ns // 10000 AS ts FROM e),
+r(i, off, ts, tokens, passed) AS (SELECT i, off, ts, CAST(1.0 AS DOUBLE), true FROM q WHERE i = 1
+  UNION ALL SELECT i, off, ts, full_ - CASE WHEN full_ >= 1 THEN 1.0 ELSE 0.0 END, full_ >= 1
+  FROM (SELECT q.i, q.off, greatest(q.ts, r.ts) AS ts, least(CAST(2.0 AS DOUBLE), r.tokens + CAST(greatest(q.ts - r.ts, 0) AS DOUBLE) / 1e9 * 2.0) AS full_ FROM r JOIN q ON q.i = r.i + 1))
+SELECT off FROM r WHERE passed""")
 def throttle(spark, d):
     # time runs ten thousand times as fast, so that records are bursts
     fast = events(spark, d).withColumn("ts_ns", F.floor(F.col("ts_ns") / 10_000).cast("long"))
@@ -234,6 +257,21 @@ def aggregate_fold(spark, d):
     return view(stream(spark, d).group_by_key().aggregate(number(), F.lit(7).cast("long"), lambda a, x: a + x * x), user_id=user(), v="agg")
 
 
+@query(with_e("SELECT off, string_agg(substr(event_type, 1, 1), '') OVER (PARTITION BY user_id ORDER BY off ROWS UNBOUNDED PRECEDING) AS v FROM e"))
+def running_concat(spark, d):
+    return view(stream(spark, d).group_by_key().reduce(F.substring(kind(), 1, 1), lambda a, b: a + b).df, off="offset", v="agg")
+
+
+@query(with_e("SELECT off, CAST(7 + sum(num * num) OVER (PARTITION BY user_id ORDER BY off ROWS UNBOUNDED PRECEDING) AS BIGINT) AS v FROM e"))
+def aggregate_changelog(spark, d):
+    return view(stream(spark, d).group_by_key().aggregate_changes(number(), lambda a, x: a + x * x, 7, "long").df, off="offset", v="agg")
+
+
+@query(with_e("SELECT user_id, off FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off DESC) AS r FROM e WHERE event_type <> 'view') WHERE r = 1"))
+def to_table(spark, d):
+    return view(stream(spark, d).filter_not(is_type("view")).to_table("last").final(), user_id=user(), off="offset")
+
+
 @query(with_e("SELECT event_type, CAST(sum(num) AS BIGINT) AS s FROM e GROUP BY event_type"))
 def final_sum(spark, d):
     return view(stream(spark, d).group_by(model.header("event-type")).final("sum", number()), event_type=model.text("key"), s="agg")
@@ -281,24 +319,59 @@ def session_count(spark, d):
 SHUFFLED = "SELECT row_number() OVER (ORDER BY off + (off * 7919) % 50, off) - 1 AS i, ts_ns, event_type FROM e"
 
 
-@query(with_e(f"""SELECT * FROM (SELECT event_type, w AS start_ns, chunk AS emission, count(*) AS n FROM (
-    SELECT a.event_type, a.w, a.i, (SELECT count(*) FROM p b WHERE b.i < a.i AND b.wm >= a.w + {HOUR} AND b.w <> a.w) AS chunk,
-    (SELECT count(*) FROM p b WHERE b.wm >= a.w + {HOUR} AND b.w <> a.w) AS closings FROM p a) WHERE chunk < closings GROUP BY ALL)""").replace("WITH e AS", "WITH p0 AS (SELECT 1), e AS", 1).replace(") SELECT * FROM (SELECT event_type", f"), q AS ({SHUFFLED}), p AS (SELECT i, event_type, ts_ns // {HOUR} * {HOUR} AS w, max(ts_ns) OVER (ORDER BY i) AS wm FROM q WHERE i < 2000) SELECT * FROM (SELECT event_type", 1))
+
+
+def replay_sql(size: int, advance: int) -> str:
+    """Emissions by their number: closings of a window before a record are its place less the first place at which the
+    watermark has reached the window's end, less the window's own records since."""
+    return f"""WITH e AS ({E}), q AS ({SHUFFLED}),
+p AS (SELECT i, event_type, ts_ns, ts_ns // {advance} * {advance} AS own, max(ts_ns) OVER (ORDER BY i) AS wm FROM q),
+h AS (SELECT i, event_type, w FROM p, unnest(range(own - {(size - 1) // advance * advance}, own + {advance}, {advance})) AS t(w) WHERE w > ts_ns - {size} AND w >= 0),
+marks AS (SELECT wm, min(i) AS at FROM p GROUP BY wm),
+reach AS (SELECT d.w, m.at AS f FROM (SELECT DISTINCT w, w + {size} AS t FROM h) d ASOF LEFT JOIN marks m ON d.t <= m.wm),
+late AS (SELECT p.own, p.i, count(*) OVER (PARTITION BY p.own ORDER BY p.i) AS n FROM p JOIN reach ON p.own = reach.w WHERE p.i >= reach.f),
+a AS (SELECT h.i, h.event_type, h.w, r.f, coalesce(l.n, 0) AS n, coalesce(x.n, 0) AS most FROM h JOIN reach r ON h.w = r.w
+  ASOF LEFT JOIN late l ON h.w = l.own AND h.i > l.i LEFT JOIN (SELECT own, max(n) AS n FROM late GROUP BY own) x ON x.own = h.w)
+SELECT event_type, w AS start_ns, chunk AS emission, count(*) AS n FROM (
+  SELECT event_type, w, CASE WHEN i <= f THEN 0 ELSE i - f - n END AS chunk, (SELECT count(*) FROM p) - f - most AS closings FROM a WHERE f IS NOT NULL) WHERE chunk < closings GROUP BY ALL"""
+
+
+@query(replay_sql(HOUR, HOUR))
 def tumbling_replay(spark, d):
     moved = ordered.arrival_index(events(spark, d).withColumn("o", F.col("offset") + (F.col("offset") * 7919) % 50), ("o", "offset"), into="i")
     df = moved.withColumn("offset", F.col("i")).withColumn("key", model.header("event-type"))
     return view(windows.replay(df, HOUR), event_type=model.text("key"), start_ns="window_start_ns", emission="emission", n="count")
 
 
-@query(with_e(f"""SELECT event_type, w AS start_ns, chunk AS emission, count(*) AS n FROM (
-    SELECT a.event_type, a.w, a.i, (SELECT count(*) FROM p b WHERE b.i < a.i AND b.wm >= a.w + {3 * HOUR} AND b.own <> a.w) AS chunk,
-    (SELECT count(*) FROM p b WHERE b.wm >= a.w + {3 * HOUR} AND b.own <> a.w) AS closings FROM h a) WHERE chunk < closings GROUP BY ALL""").replace(") SELECT event_type", f"), q AS ({SHUFFLED}), p AS (SELECT i, ts_ns, event_type, ts_ns // {HOUR} * {HOUR} AS own, max(ts_ns) OVER (ORDER BY i) AS wm FROM q WHERE i < 1000), h AS (SELECT i, event_type, w FROM p, unnest(range(own - {2 * HOUR}, own + {HOUR}, {HOUR})) AS t(w) WHERE w > ts_ns - {3 * HOUR}) SELECT event_type", 1))
+@query(replay_sql(3 * HOUR, HOUR))
 def hopping_replay(spark, d):
     moved = ordered.arrival_index(events(spark, d).withColumn("o", F.col("offset") + (F.col("offset") * 7919) % 50), ("o", "offset"), into="i")
     df = moved.withColumn("offset", F.col("i")).withColumn("key", model.header("event-type"))
     return view(windows.replay(df, 3 * HOUR, HOUR), event_type=model.text("key"), start_ns="window_start_ns", emission="emission", n="count")
 
 
+@query(with_e(f"SELECT user_id, lpad(upper(to_hex(ts_ns // {HOUR} * {HOUR})), 16, '0') AS start_hex, (ts_ns // {HOUR} + 1) * {HOUR} AS end_ns, (ts_ns // {HOUR} + 1) * {HOUR} AS ts_ns, count(*) AS n FROM e GROUP BY ALL"))
+def window_headers(spark, d):
+    out = windows.emitted(stream(spark, d).group_by_key().tumbling(HOUR))
+    return view(out, user_id=user(), start_hex=F.hex(model.header(model.WINDOW_START)), end_ns=model.decode_be64(model.header(model.WINDOW_END)), ts_ns="ts_ns", n=model.decode_be64("value"))
+
+
+@query(with_e(f"SELECT t.at AS at_ns, (SELECT count(*) FROM e WHERE e.ts_ns <= t.at) AS records FROM (SELECT unnest(range((min(ts_ns) + {24 * HOUR - 1}) // {24 * HOUR} * {24 * HOUR}, max(ts_ns) // {24 * HOUR} * {24 * HOUR} + 1, {24 * HOUR})) AS at FROM e) t"))
+def punctuate(spark, d):
+    return view(windows.punctuations(events(spark, d), 24 * HOUR), at_ns="at_ns", records="records")
+
+
+@query(with_e(f"SELECT greatest(max(ts_ns), CAST({4 * 10**18} AS BIGINT)) AS watermark_ns FROM e"))
+def idle_watermark(spark, d):
+    return windows.watermark(events(spark, d), idle_ns=HOUR, last_arrival_ns=4 * 10**18 - 2 * HOUR, now_ns=4 * 10**18)
+
+
+@query(with_e(f"SELECT user_id, num * {HOUR} // {5 * HOUR} * {5 * HOUR} AS start_ns, count(*) AS n FROM e GROUP BY ALL"))
+def timestamp_extractor(spark, d):
+    top = Topology({"events": events(spark, d)}, ("offset",), timestamp=number() * HOUR)
+    return view(top.stream("events").group_by_key().tumbling(5 * HOUR), user_id=user(), start_ns="window_start_ns", n="count")
+
+
 @query(with_e(f"SELECT user_id, ts_ns // {24 * HOUR} * {24 * HOUR} AS start_ns, count(*) AS n FROM e WHERE (ts_ns // {24 * HOUR} + 1) * {24 * HOUR} <= (SELECT max(ts_ns) FROM e) GROUP BY ALL"))
 def closed_windows(spark, d):
     made = stream(spark, d).group_by_key().tumbling(24 * HOUR)
@@ -454,6 +527,55 @@ def load_jsonl(spark, d):
     return view(log.load(log.dump(events(spark, d)), "again"), off="offset", ts_ns="ts_ns", user_id=user(), v=model.text("value"), event_type=kind())
 
 
+def places(spark: SparkSession, step: int) -> DataFrame:
+    """Offset ``step`` times its number for each of four partitions."""
+    return spark.range(4).select(F.lit("events").alias("topic"), F.col("id").cast("int").alias("partition"), (F.col("id") * step).alias("offset"))
+
+
+@query(with_e("SELECT off // 4 AS off, CAST(off % 4 AS INTEGER) AS part FROM e WHERE off // 4 >= 10 * (off % 4)"))
+def seek(spark, d):
+    return view(log.seek(events(spark, d, 4), places(spark, 10)), off="offset", part="partition")
+
+
+@query(with_e("SELECT off FROM e WHERE false"))
+def seek_to_end(spark, d):
+    return view(log.seek(events(spark, d, 4), where="end"), off="offset")
+
+
+@query(with_e("SELECT off // 4 AS off, CAST(off % 4 AS INTEGER) AS part FROM e WHERE off % 4 NOT IN (1, 3)"))
+def pause(spark, d):
+    return view(log.without(events(spark, d, 4), [("events", 1), ("events", 3)]), off="offset", part="partition")
+
+
+@query(with_e("SELECT off // 4 AS off, CAST(off % 4 AS INTEGER) AS part FROM e WHERE off // 4 >= 7 * (off % 4) ORDER BY ts_ns, off % 4, off // 4 LIMIT 64"))
+def poll(spark, d):
+    return view(log.poll(events(spark, d, 4), places(spark, 7).withColumnRenamed("offset", "next_offset"), 64), off="offset", part="partition")
+
+
+@query(with_e("SELECT CAST(p AS INTEGER) AS part, coalesce(n, 7 * p) AS next_offset FROM range(4) t(p) LEFT JOIN (SELECT off % 4 AS q, max(off // 4) + 1 AS n FROM (SELECT off FROM e WHERE off // 4 >= 7 * (off % 4) ORDER BY ts_ns, off % 4, off // 4 LIMIT 64) GROUP BY 1) ON p = q"))
+def consume_position(spark, d):
+    _, after = log.consume(events(spark, d, 4), places(spark, 7).withColumnRenamed("offset", "next_offset"), 64)
+    return view(after, part="partition", next_offset="next_offset")
+
+
+@query(with_e("SELECT off // 4 AS off, CAST(off % 4 AS INTEGER) AS part FROM e WHERE off // 4 >= 30 * (off % 4)"))
+def tail(spark, d):
+    return view(log.tail(events(spark, d, 4), places(spark, 30).withColumnRenamed("offset", "high_water")), off="offset", part="partition")
+
+
+@query(with_e("SELECT 'g' AS \"group\", CAST(sum(c - 5 * p) AS BIGINT) AS lag FROM (SELECT off % 4 AS p, max(off // 4) + 1 AS c FROM e GROUP BY 1)"))
+def total_lag(spark, d):
+    committed = places(spark, 5).select(F.lit("g").alias("group"), "topic", "partition", F.col("offset").alias("next_offset"))
+    return log.total_lag(log.lag(log.high_water(events(spark, d, 4)), committed))
+
+
+@query(with_e("SELECT user_id, CAST(num % 3 AS INTEGER) AS part, row_number() OVER (PARTITION BY num % 3 ORDER BY off) - 1 + 100 AS off FROM e"))
+def custom_partitioner(spark, d):
+    rows = events(spark, d).select("key", "value", "headers", "ts_ns", F.col("offset").alias("o"))
+    ends = spark.range(3).select(F.lit("out").alias("topic"), F.col("id").cast("int").alias("partition"), F.lit(100).alias("high_water"))
+    return view(log.append("out", rows, 3, ends, ["o"], partitioner=lambda df, n: number() % n), user_id=user(), part="partition", off="offset")
+
+
 @query(with_e("SELECT row_number() OVER (ORDER BY off) - 1 AS off, user_id, CAST(99 AS BIGINT) AS ts_ns FROM e WHERE event_type = 'click'"))
 def topic_copy(spark, d):
     return view(log.copy(events(spark, d).where(is_type("click")), "copy", now_ns=F.lit(99)), off="offset", user_id=user(), ts_ns="ts_ns")
@@ -525,6 +647,19 @@ def schema_compat(spark, d):
     return view(v, subject="subject", id=F.col("id").cast("long"), backward=registry.compatible(F.col("old"), F.col("schema"), F.lit("BACKWARD")))
 
 
+@query(with_e(f"""SELECT subject, version, id, f FROM (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY off) AS version, off AS id, f, count(*) OVER (PARTITION BY subject) AS n FROM ({REG}))
+  WHERE version <> n UNION ALL SELECT subject, count(*) + 1, (SELECT max(off) FROM e) + 2, arg_max(f, off) FROM ({REG}) GROUP BY subject"""))
+def registry_deleted_version(spark, d):
+    """The latest version goes, then the same schema comes again: as another version."""
+    made = schema_events(spark, d)
+    top = registry.latest(made).crossJoin(F.broadcast(made.agg(F.max("offset").alias("end"))))
+    none = lambda kind: F.lit(None).cast(kind)
+    gone = top.select((F.col("end") + 1).alias("offset"), "subject", F.lit("delete_version").alias("kind"), none("string").alias("schema"), none("int").alias("id"), "version", none("string").alias("level"))
+    again = top.select((F.col("end") + 2).alias("offset"), "subject", F.lit("register").alias("kind"), "schema", none("int").alias("id"), none("int").alias("version"), none("string").alias("level"))
+    out = registry.versions(made.unionByName(gone).unionByName(again))
+    return view(out, subject="subject", version=F.col("version").cast("long"), id=F.col("id").cast("long"), f=F.regexp_extract("schema", r"f(\d)", 1).cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

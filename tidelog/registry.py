@@ -7,33 +7,56 @@ Events are rows (offset, subject, kind, schema, id, version, level): ``register`
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.topics import Catalog
+
 EVENTS = "offset long, subject string, kind string, schema string, id int, version int, level string"
 LEVELS = ("NONE", "BACKWARD", "FORWARD", "FULL")
 
 
-def accepted(events: DataFrame) -> DataFrame:
-    """``register`` events that make a version: those whose text is not the subject's latest one."""
-    w = Window.partitionBy("subject").orderBy("offset")
-    r = events.where("kind = 'register'")
-    return r.withColumn("_before", F.lag("schema").over(w)).where(~F.col("_before").eqNullSafe(F.col("schema"))).drop("_before")
+def replay(events: Iterable[tuple]) -> list[tuple[int, int, str]]:
+    """(version, id, schema) alive after one subject's events (offset, kind, schema, id, version) in order.
+
+    A schema equal to the latest one alive adds none; one that was deleted does, with another version.
+    """
+    out: list[tuple[int, int, str]] = []
+    n = 0
+    for offset, kind, schema, id, version in events:
+        if kind == "register" and not (out and out[-1][2] == schema):
+            n += 1
+            out.append((n, offset if id is None else id, schema))
+        elif kind == "delete_subject":
+            out, n = [], 0
+        elif kind == "delete_version":
+            out = [x for x in out if x[0] != version]
+        elif kind == "delete_id":
+            out = [x for x in out if x[1] != id]
+    return out
 
 
 def versions(events: DataFrame) -> DataFrame:
-    """(subject, version, id, schema) that are alive. Versions count up over a subject's life and are not given again."""
-    cut = events.where("kind = 'delete_subject'").groupBy("subject").agg(F.max("offset").alias("_cut"))
-    alive = events.join(cut, "subject", "left").where(F.col("_cut").isNull() | (F.col("offset") > F.col("_cut"))).drop("_cut")
-    w = Window.partitionBy("subject").orderBy("offset")
-    made = accepted(alive).select("subject", "offset", "schema", F.row_number().over(w).alias("version"), F.coalesce("id", F.col("offset").cast("int")).alias("id"))
-    by_version = alive.where("kind = 'delete_version'").select(F.col("subject").alias("_s"), F.col("version").alias("_v"), F.col("offset").alias("_o"))
-    left = made.join(by_version, (F.col("subject") == F.col("_s")) & (F.col("version") == F.col("_v")) & (F.col("_o") > F.col("offset")), "left_anti")
-    by_id = events.where("kind = 'delete_id'").select(F.col("id").alias("_i"), F.col("offset").alias("_o"))
-    left = left.alias("m").join(by_id, (F.col("m.id") == F.col("_i")) & (F.col("_o") > F.col("m.offset")), "left_anti")
-    return left.select("subject", "version", "id", "schema")
+    """(subject, version, id, schema) that are alive. Versions count up over a subject's life and are not given again.
+
+    A subject's events are folded in order in one task; there are as many as it ever had schemas.
+    """
+    own = events.where("kind IN ('register', 'delete_subject', 'delete_version')").select("subject", "offset", "kind", "schema", "id", "version")
+    # deletions by id go to the subjects that have registered it
+    ids = events.where("kind = 'register'").select("subject", F.coalesce("id", F.col("offset").cast("int")).alias("id")).distinct()
+    gone = events.where("kind = 'delete_id'").select("offset", "kind", "schema", "id", "version").join(ids, "id").select("subject", "offset", "kind", "schema", "id", "version")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("offset")
+        plain = lambda c: [None if pd.isna(x) else int(x) for x in rows[c]]
+        alive = replay(zip(plain("offset"), rows["kind"], rows["schema"], plain("id"), plain("version"), strict=True))
+        return pd.DataFrame([(rows["subject"].iloc[0], *x) for x in alive], columns=["subject", "version", "id", "schema"])
+
+    return own.unionByName(gone).groupBy("subject").applyInPandas(run, "subject string, version int, id int, schema string")
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -68,39 +91,45 @@ def compatible(old: Column, new: Column, level: Column) -> Column:
     return F.when(level == "BACKWARD", backward).when(level == "FORWARD", forward).when(level == "FULL", backward & forward).otherwise(F.lit(True))
 
 
+SHOWN = "kind string, schema string, id int, version int, level string"
+
+
 @dataclass
 class Registry:
-    """A registry that keeps its events in memory and shows them as a DataFrame."""
+    """A registry that keeps its events in memory, and on a topic where it was opened on one; shows them as a DataFrame."""
 
     spark: SparkSession
     events: list[tuple] = field(default_factory=list)
     default: str = "NONE"
+    catalog: Catalog | None = None
+    topic: str = "_schemas"
+
+    @classmethod
+    def open(cls, catalog: Catalog, topic: str = "_schemas", default: str = "NONE") -> Registry:
+        """The registry whose events a topic of one partition holds: key the subject, value JSON. It is made where there is none."""
+        if topic not in [t.name for t in catalog.list()]:
+            catalog.create(topic, 1)
+        spark = catalog.spark
+        rows = catalog.read(topic).select("offset", F.decode("key", "UTF-8").alias("subject"), F.from_json(F.decode("value", "UTF-8"), SHOWN).alias("e")).select("offset", "subject", "e.*")
+        # as many rows as there ever were changes of schemas
+        events = [tuple(r) for r in rows.orderBy("offset").collect()]
+        return cls(spark, events, default, catalog, topic)
 
     def frame(self) -> DataFrame:
         return self.spark.createDataFrame(self.events, EVENTS)
 
     def _add(self, subject: str | None, kind: str, schema: str | None = None, id: int | None = None, version: int | None = None, level: str | None = None) -> int:
         offset = len(self.events)
+        if self.catalog is not None:
+            value = json.dumps({"kind": kind, "schema": schema, "id": id, "version": version, "level": level}).encode()
+            row = self.spark.createDataFrame([(None if subject is None else subject.encode(), value, offset)], "key binary, value binary, o long")
+            self.catalog.produce(self.topic, row, ["o"])
         self.events.append((offset, subject, kind, schema, id, version, level))
         return offset
 
     def _alive(self, subject: str) -> list[tuple[int, int, str]]:
-        """(version, id, schema) alive, by the rules of ``versions``."""
-        out: list[tuple[int, int, str]] = []
-        n, last = 0, None
-        for offset, s, kind, schema, id, version, _ in self.events:
-            if kind == "delete_id":
-                out = [x for x in out if x[1] != id]
-            elif s != subject:
-                continue
-            elif kind == "register" and schema != last:
-                n, last = n + 1, schema
-                out.append((n, offset if id is None else id, schema))
-            elif kind == "delete_subject":
-                out, n, last = [], 0, None
-            elif kind == "delete_version":
-                out = [x for x in out if x[0] != version]
-        return out
+        """(version, id, schema) alive, by the rules of ``replay``."""
+        return replay((offset, kind, schema, id, version) for offset, s, kind, schema, id, version, _ in self.events if s == subject or kind == "delete_id")
 
     def register(self, subject: str, schema: str) -> int:
         alive = self._alive(subject)

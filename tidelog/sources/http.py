@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -35,15 +36,26 @@ class Poll:
 
 
 class PollReader(SimpleDataSourceStreamReader):
-    """The cursor is the stream's offset; what one read returned is kept for its batch."""
+    """The cursor is the stream's offset, and the endpoint's answer to a cursor is what a batch is.
+
+    A batch that is run again after a failure asks again with the same cursor: it is the same where the
+    endpoint answers a cursor alike, as a replayable source must. ``interval`` is the least number of
+    seconds between requests; ``header.NAME`` options are sent along.
+    """
 
     def __init__(self, options: dict):
-        self.poll = Poll(options["url"], options.get("cursorParam"), options.get("cursorHeader"))
+        sent = {k[len("header.") :]: v for k, v in options.items() if k.lower().startswith("header.")}
+        lower = {k.lower(): v for k, v in options.items()}
+        self.poll = Poll(options["url"], lower.get("cursorparam"), lower.get("cursorheader"), sent, float(lower.get("timeout", 30)))
+        self.interval, self.asked = float(lower.get("interval", 0)), float("-inf")
 
     def initialOffset(self) -> dict:
         return {"cursor": "", "n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if time.monotonic() - self.asked < self.interval:
+            return iter(()), start
+        self.asked = time.monotonic()
         lines, cursor = self.poll.fetch(start["cursor"])
         moved = start["n"] + bool(lines)
         return iter([(x,) for x in lines]), {"cursor": cursor, "n": moved}
@@ -53,7 +65,7 @@ class PollReader(SimpleDataSourceStreamReader):
 
 
 class PollSource(DataSource):
-    """``readStream.format("poll").options(url=..., cursorParam=..., cursorHeader=...)``."""
+    """``readStream.format("poll").options(url=..., cursorParam=..., cursorHeader=..., timeout=..., interval=...)``."""
 
     @classmethod
     def name(cls) -> str:

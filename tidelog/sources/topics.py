@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.model import FIELDS, RECORD_SCHEMA
 from tidelog.operators import log
 
+# Fixed value: what a topic may be called.
 NAME = re.compile(r"^[a-zA-Z0-9._-]{1,249}$")
 OFFSETS = "group string, topic string, partition int, next_offset long, at long"
 
@@ -92,6 +93,7 @@ class Catalog:
         for name in names:
             self.describe(name)
             at = self._records(name)
+            self._mend(name)
             if self._exists(at):
                 frames.append(self.spark.read.schema(RECORD_SCHEMA).parquet(at).select(*FIELDS))
         return log.subscribe(*frames) if frames else self.spark.createDataFrame([], RECORD_SCHEMA)
@@ -106,9 +108,27 @@ class Catalog:
         """Records with their offsets; files are sorted by offset so that offset ranges skip row groups."""
         records.select(*FIELDS).sortWithinPartitions("partition", "offset").write.mode(mode).partitionBy("partition").parquet(self._records(name))
 
-    def produce(self, name: str, rows: DataFrame, order: list[str], now_ns: Column | None = None) -> None:
+    def produce(self, name: str, rows: DataFrame, order: list[str], now_ns: Column | None = None, partitioner: log.Partitioner | None = None) -> None:
         topic = self.describe(name)
-        self.write(name, log.append(name, rows, topic.partitions, log.high_water(self.read(name)), order, now_ns))
+        self.write(name, log.append(name, rows, topic.partitions, log.high_water(self.read(name)), order, now_ns, partitioner))
+
+    def poll(self, group: str, names: list[str], most: int, paused: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+        """The next records for a group, ``most`` at most, from its committed offsets; paused partitions keep theirs."""
+        return log.poll(log.without(self.read(*names), paused), self.committed(group).select("topic", "partition", "next_offset"), most)
+
+    def seek(self, group: str, names: list[str], to: str | int = "begin") -> None:
+        """Commit the begin, the end or one offset for all partitions of topics."""
+        ends = log.stats(self.read(*names)).select("topic", "partition", "log_start", "high_water")
+        at = {"begin": F.col("log_start"), "end": F.col("high_water")}[to] if isinstance(to, str) else F.lit(to)
+        self.commit(group, ends.select("topic", "partition", at.alias("next_offset")))
+
+    def position(self, group: str, name: str) -> dict[int, int]:
+        """A group's next offset in each partition of a topic; one row a partition."""
+        return {r.partition: r.next_offset for r in self.committed(group).where(F.col("topic") == name).collect()}
+
+    def total_lag(self, group: str) -> int:
+        found = log.total_lag(self.lag(group)).first()
+        return found.lag if found else 0
 
     # -- groups
     def _offsets(self) -> DataFrame:
@@ -117,8 +137,12 @@ class Catalog:
 
     def commit(self, group: str, offsets: DataFrame) -> None:
         """Append (topic, partition, next_offset) for a group; the latest commit of each counts, -1 forgets."""
-        at = self._offsets().agg(F.coalesce(F.max("at") + 1, F.lit(0)).alias("at"))
-        offsets.select(F.lit(group).alias("group"), "topic", "partition", F.col("next_offset").cast("long")).crossJoin(F.broadcast(at)).coalesce(1).write.mode("append").parquet(f"{self.path}/offsets")
+        self._commit(offsets.select(F.lit(group).alias("group"), "topic", "partition", F.col("next_offset").cast("long")))
+
+    def _commit(self, rows: DataFrame) -> None:
+        # a number, not a join: commits are few and small
+        at = self._offsets().agg(F.coalesce(F.max("at") + 1, F.lit(0)).alias("at")).first().at
+        rows.withColumn("at", F.lit(at).cast("long")).coalesce(1).write.mode("append").parquet(f"{self.path}/offsets")
 
     def committed(self, group: str | None = None) -> DataFrame:
         rows = self._offsets()
@@ -144,20 +168,33 @@ class Catalog:
         self.commit(group, own.join(ends, ["topic", "partition"]))
 
     def rename(self, old: str, new: str) -> None:
-        self.commit(new, self.committed(old))
-        self.forget(old)
+        """One commit: the new group's offsets and the old one's end come in a single file."""
+        own = self.committed(old).drop("group")
+        both = own.select(F.lit(new).alias("group"), "*").unionByName(own.select(F.lit(old).alias("group"), "topic", "partition", F.lit(-1).cast("long").alias("next_offset")))
+        self._commit(both)
 
     def forget(self, group: str) -> None:
         self.commit(group, self.committed(group).withColumn("next_offset", F.lit(-1)))
 
     # -- maintenance
     def rewrite(self, name: str, records: DataFrame) -> None:
-        """Put other records in a topic's place: written beside it first, then swapped."""
+        """Put other records in a topic's place: written beside it first, then swapped by two renames.
+
+        The old ones go last. Where a swap was cut off between the renames, the next use of the topic ends it.
+        """
         self.describe(name)
-        beside = f"{self.path}/records/.{name}.new"
+        beside, aside = (f"{self.path}/records/.{name}.{x}" for x in ("new", "old"))
         records.select(*FIELDS).sortWithinPartitions("partition", "offset").write.mode("overwrite").partitionBy("partition").parquet(beside)
-        self._fs.delete(self._path(self._records(name)), True)
+        self._fs.delete(self._path(aside), True)
+        self._fs.rename(self._path(self._records(name)), self._path(aside))
         self._fs.rename(self._path(beside), self._path(self._records(name)))
+        self._fs.delete(self._path(aside), True)
+
+    def _mend(self, name: str) -> None:
+        beside, aside = (f"{self.path}/records/.{name}.{x}" for x in ("new", "old"))
+        if not self._exists(self._records(name)) and self._exists(aside):
+            whole = self._exists(f"{beside}/_SUCCESS")
+            self._fs.rename(self._path(beside if whole else aside), self._path(self._records(name)))
 
     def compact(self, name: str, segment_records: int) -> None:
         df = self.read(name)

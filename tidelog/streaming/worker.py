@@ -76,9 +76,26 @@ def fan_out(sinks: Mapping[str, Batch], by: str = "target") -> Batch:
 
 @dataclass
 class Stats:
+    """What a connector has put out so far."""
+
     records: int = 0
+    bytes: int = 0
     batches: int = 0
     failures: int = 0
+    seconds: float = 0.0
+
+
+def counted(put: Batch, batch: DataFrame, stats: Stats) -> None:
+    """Put a batch and add its counts; the batch is made once for both."""
+    size = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("key", "value") if c in batch.columns]
+    batch = batch.persist()
+    try:
+        put(batch)
+        found = batch.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(size, F.lit(0)).cast("long")), F.lit(0)).alias("bytes")).first()
+        stats.records += found.n
+        stats.bytes += found.bytes
+    finally:
+        batch.unpersist()
 
 
 @dataclass
@@ -97,14 +114,16 @@ class Worker:
 
         def run(batch: DataFrame, _: int) -> None:
             stats.batches += 1
-            stats.records += batch.count()
+            began = time.monotonic()
             try:
-                retry.run(put, batch)
+                retry.run(lambda b: counted(put, b, stats), batch)
             except Exception:
                 stats.failures += 1
                 if bury is None:
                     raise
                 bury(batch)
+            finally:
+                stats.seconds += time.monotonic() - began
 
         writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{self.checkpoints}/{name}")
         writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
