@@ -19,12 +19,15 @@ times all tokens; a target stops at ``cap`` times its source's tokens, and the e
 others by weight. That is min(cap S, w theta) with one theta for all, found in closed form.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a source without tokens has
-target 0; with no tokens at all every target is 0; repeated rows are documents of their own;
-columns other than text and source are carried along unread.
+target 0; with no tokens at all every target is 0; repeated rows are documents of their own, of which
+none is told from the others: they share their copies evenly; documents of one size are taken in the
+order of a hash of all columns; columns other than text and source are carried in a struct, so no name
+can clash. A very long text is one document of a large size; only its number of words leaves the scan.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,6 +100,8 @@ def solve(sizes: DataFrame, goals: DataFrame, mix: Mix, scratch: Scratch, tag: s
         state = scratch.write(moved.unionByName(state.where("done")), f"{tag}{k + 1}")
         if not state.where(~F.col("done")).head(1):
             break
+    else:
+        warnings.warn(f"a source's target was not met to one part in {1 / mix.tolerance:.0e} within {mix.steps} steps", stacklevel=2)
     return state.select("of", "mean", "full", F.round("lam", 9).alias("lam"))
 
 
