@@ -102,10 +102,10 @@ class Registry:
     events: list[tuple] = field(default_factory=list)
     default: str = "NONE"
     catalog: Catalog | None = None
-    topic: str = "_schemas"
+    topic: str = "schemas"
 
     @classmethod
-    def open(cls, catalog: Catalog, topic: str = "_schemas", default: str = "NONE") -> Registry:
+    def open(cls, catalog: Catalog, topic: str = "schemas", default: str = "NONE") -> Registry:
         """The registry whose events a topic of one partition holds: key the subject, value JSON. It is made where there is none."""
         if topic not in [t.name for t in catalog.list()]:
             catalog.create(topic, 1)

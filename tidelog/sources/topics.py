@@ -58,7 +58,11 @@ class Catalog:
     def describe(self, name: str) -> Topic:
         if not self._exists(self._file(name)):
             raise KeyError(name)
-        return Topic(**json.loads("".join(r.value for r in self.spark.read.text(self._file(name)).collect())))
+        source = self._fs.open(self._path(self._file(name)))
+        try:
+            return Topic(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")))
+        finally:
+            source.close()
 
     def list(self) -> list[Topic]:
         if not self._exists(f"{self.path}/topics"):
