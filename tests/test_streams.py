@@ -84,7 +84,7 @@ def test_table_join_on_streams(spark, records, land):
 
 
 def test_null_keys_join_on_streams(records, land):
-    left, right = records([(None, "l", 0), ("a", "m", 0)]), records([("", "r", 5)])
+    left, right = records([(None, "l", 5000), ("a", "m", 5000)]), records([("", "r", 5005)])
     got = drain(state.interval_join(land("l", left), land("r", right), "1 seconds"), "s_null")
     assert [(bytes(r.left.value), bytes(r.right.value)) for r in got.collect()] == [(b"l", b"r")]
 
