@@ -249,3 +249,43 @@ def test_full_join_keeps_repeated_rows(records):
     twice = df.unionByName(df)
     got = joins.interval_join(twice, records([("b", "y", 0), ("b", "y", 0)]), MS, "full").collect()
     assert len(got) == 4 and sum(r.left is None for r in got) == 2
+
+
+@pytest.mark.parametrize("stretch", [3 * MS, 40 * MS, 10**6 * MS])
+def test_stretches_change_nothing(spark, stretch):
+    """Sessions, as-of joins and idempotence against plain Python, for any width of stretches."""
+    import random
+
+    from tidelog.model import RECORD_SCHEMA
+
+    r = random.Random(stretch)
+    make = lambda n, topic: spark.createDataFrame([(topic, 0, i, r.randrange(200) * MS, None, r.choice([b"a", b"b", None]), str(r.randrange(30)).encode(), []) for i in range(n)], RECORD_SCHEMA).cache()
+    left, right = make(60, "l"), make(40, "r")
+    rows = lambda df: [(bytes(x.key or b""), x.ts_ns, x.offset, bytes(x.value)) for x in df.collect()]
+    # sessions
+    want, by = [], {}
+    for k, t, *_ in sorted(rows(left)):
+        own = by.setdefault(k, [])
+        if own and t - own[-1][1] <= 5 * MS:
+            own[-1] = (own[-1][0], t, own[-1][2] + 1)
+        else:
+            own.append((t, t, 1))
+    want = sorted((k, *x) for k, l in by.items() for x in l)
+    got = windows.session(left, 5 * MS, stretch_ns=stretch).collect()
+    assert sorted((bytes(x.key), x.window_start_ns, x.window_end_ns, x["count"]) for x in got) == want
+    # as-of: of a key's table rows at one time any may be the last
+    table = rows(right)
+    for x in joins.asof_join(left, right, ("value",), stretch_ns=stretch).collect():
+        past = [(t, v) for k, t, _, v in table if k == bytes(x.key or b"") and t <= x.ts_ns]
+        last = {v for t, v in past if t == max(p[0] for p in past)}
+        assert (bytes(x.table_value) if x.table_value is not None else None) in (last or {None})
+    # idempotence
+    number = F.decode("value", "UTF-8").cast("long")
+    top, fresh = {}, []
+    for x in left.orderBy("offset").collect():
+        k, v = x.key, int(x.value)
+        if v > top.get(k, -1):
+            fresh.append(x.offset)
+        top[k] = max(v, top.get(k, -1))
+    got = ordered.idempotent(left, "key", number, ("offset",), stretch=max(1, stretch // MS))
+    assert sorted(x.offset for x in got.collect()) == fresh

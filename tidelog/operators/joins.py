@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.model import group_key
+from tidelog.operators.windows import DAY
 
 
 def interval_join(left: DataFrame, right: DataFrame, window_ns: int, how: str = "inner", bucketed: bool = True) -> DataFrame:
@@ -48,16 +49,23 @@ def table_join(stream: DataFrame, table: DataFrame, how: str = "left") -> DataFr
     return {"left": out, "inner": out.where("hit"), "anti": out.where("NOT hit")}[how]
 
 
-def asof_join(stream: DataFrame, table: DataFrame, values: Sequence[str] = ("value",), prefix: str = "table_", by: Column | str | None = None) -> DataFrame:
+def asof_join(stream: DataFrame, table: DataFrame, values: Sequence[str] = ("value",), prefix: str = "table_", by: Column | str | None = None, stretch_ns: int = DAY) -> DataFrame:
     """``stream`` with the table's values as they were at each record's time (at equal times, already there).
 
-    One sort by key and time of both together; no pairs are made.
+    Both together are sorted by key and time within stretches of time, so that a hot key is many groups;
+    a stretch begins with the last values of those before it, one row a stretch. No pairs are made.
     """
     key = group_key(by) if by is not None else group_key()
     some = F.struct(*[F.col(v) for v in values])
     none = F.lit(None)
-    s = stream.select(key.alias("_k"), F.col("ts_ns").alias("_t"), F.lit(1).alias("_side"), F.struct(*stream.columns).alias("_row"), none.cast(table.select(some.alias("x")).schema["x"].dataType).alias("_v"))
-    t = table.select(group_key().alias("_k"), F.col("ts_ns").alias("_t"), F.lit(0).alias("_side"), none.cast(s.schema["_row"].dataType).alias("_row"), some.alias("_v"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = s.unionByName(t).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    place = F.floor(F.col("ts_ns") / stretch_ns).cast("long").alias("_b")
+    s = stream.select(key.alias("_k"), F.col("ts_ns").alias("_t"), place, F.lit(1).alias("_side"), F.struct(*stream.columns).alias("_row"), none.cast(table.select(some.alias("x")).schema["x"].dataType).alias("_v"))
+    t = table.select(group_key().alias("_k"), F.col("ts_ns").alias("_t"), place, F.lit(0).alias("_side"), none.cast(s.schema["_row"].dataType).alias("_row"), some.alias("_v"))
+    both = s.unionByName(t)
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("_k", "_b").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+    carried = ends.select(F.col("_k").alias("_ck"), F.col("_b").alias("_cb"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy("_k", "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    out = out.join(carried, (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb"))).withColumn("_last", F.coalesce("_own", "_carried"))
     return out.select("_row.*", *[F.col(f"_last.{v}").alias(f"{prefix}{v}") for v in values])

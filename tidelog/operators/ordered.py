@@ -89,9 +89,25 @@ def throttle(df: DataFrame, per_second: float, by: Sequence[str] = ("topic", "pa
     return df.groupBy(*by).applyInPandas(fold, df.schema)
 
 
-def idempotent(df: DataFrame, producer: Column | str, sequence: Column | str, order: Order = ARRIVAL) -> DataFrame:
-    """Of each producer and partition, records whose sequence number exceeds all before it."""
-    w = Window.partitionBy("_p", "topic", "partition").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def idempotent(df: DataFrame, producer: Column | str, sequence: Column | str, order: Order = ARRIVAL, stretch: int | None = None) -> DataFrame:
+    """Of each producer and partition, records whose sequence number exceeds all before it.
+
+    ``stretch``: a width of the first order column; the largest number is then found within stretches and
+    carried from one to the next, so that a busy producer is many groups.
+    """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    out = df.withColumns({"_p": col(producer), "_s": col(sequence)}).withColumn("_m", F.max("_s").over(w))
-    return out.where(F.col("_m").isNull() | (F.col("_s") > F.col("_m"))).drop("_p", "_s", "_m")
+    by = ("_p", "topic", "partition")
+    out = df.withColumns({"_p": col(producer), "_s": col(sequence)})
+    fresh = F.col("_m").isNull() | (F.col("_s") > F.col("_m"))
+    if stretch is None:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return out.withColumn("_m", F.max("_s").over(w)).where(fresh).select(*df.columns)
+    out = out.withColumn("_b", F.floor(F.col(order[0]) / stretch).cast("long"))
+    w = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = out.groupBy(*by, "_b").agg(F.max("_s").alias("_t")).select(*[F.col(c).alias(f"_c{c}") for c in (*by, "_b")], F.max("_t").over(upto).alias("_before"))
+    same = F.lit(True)
+    for c in (*by, "_b"):
+        same = same & F.equal_null(F.col(c), F.col(f"_c{c}"))
+    local = out.withColumn("_l", F.max("_s").over(w)).join(carried, same)
+    return local.withColumn("_m", F.greatest("_l", "_before")).where(fresh).select(*df.columns)

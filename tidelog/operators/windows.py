@@ -34,14 +34,27 @@ def hopping(df: DataFrame, size_ns: int, advance_ns: int, aggs: Aggs | None = No
     return out.withColumn("window_end_ns", F.col("window_start_ns") + size_ns)
 
 
-def session(df: DataFrame, gap_ns: int, aggs: Aggs | None = None, key: Column | str = "key") -> DataFrame:
-    """The same for sessions: a record more than ``gap_ns`` after the last one starts another. The end is the last record's time."""
-    w = Window.partitionBy("_k").orderBy("ts_ns")
-    new = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(w) > gap_ns).cast("int"), F.lit(1))
-    out = df.withColumn("_k", group_key(key)).withColumn("_new", new)
-    out = out.withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    made = out.groupBy(F.col("_k").alias("key"), "_s").agg(F.min("ts_ns").alias("window_start_ns"), F.max("ts_ns").alias("window_end_ns"), *_aggs(aggs))
-    return made.drop("_s")
+DAY = 86_400_000_000_000
+
+
+def session(df: DataFrame, gap_ns: int, aggs: Aggs | None = None, key: Column | str = "key", stretch_ns: int = DAY) -> DataFrame:
+    """The same for sessions: a record more than ``gap_ns`` after the last one starts another. The end is the last record's time.
+
+    Records are cut into sessions within stretches of time, so that a hot key is many groups; those of a
+    key, as starts and ends alone, are then joined where they touch across a stretch's end.
+    """
+    local = Window.partitionBy("_k", "_b").orderBy("ts_ns")
+    new = F.coalesce((F.col("ts_ns") - F.lag("ts_ns").over(local) > gap_ns).cast("int"), F.lit(1))
+    out = df.withColumns({"_k": group_key(key), "_b": F.floor(F.col("ts_ns") / stretch_ns).cast("long")}).withColumn("_new", new)
+    out = out.withColumn("_s", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = out.groupBy("_k", "_b", "_s").agg(F.min("ts_ns").alias("_from"), F.max("ts_ns").alias("_to"))
+    whole = Window.partitionBy("_gk").orderBy("_gb", "_gs")
+    spans = spans.select(F.col("_k").alias("_gk"), F.col("_b").alias("_gb"), F.col("_s").alias("_gs"), "_from", "_to")
+    apart = F.coalesce((F.col("_from") - F.lag("_to").over(whole) > gap_ns).cast("int"), F.lit(1))
+    spans = spans.withColumn("_apart", apart).withColumn("_id", F.sum("_apart").over(whole.rowsBetween(Window.unboundedPreceding, 0))).select("_gk", "_gb", "_gs", "_id")
+    named = out.join(spans, (F.col("_k") == F.col("_gk")) & (F.col("_b") == F.col("_gb")) & (F.col("_s") == F.col("_gs")))
+    made = named.groupBy(F.col("_k").alias("key"), "_id").agg(F.min("ts_ns").alias("window_start_ns"), F.max("ts_ns").alias("window_end_ns"), *_aggs(aggs))
+    return made.drop("_id")
 
 
 def replay(df: DataFrame, size_ns: int, advance_ns: int | None = None, order: str = "offset", by: Sequence[str] = ("topic", "partition")) -> DataFrame:

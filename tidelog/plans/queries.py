@@ -223,7 +223,7 @@ def throttle(spark, d):
 
 @query(with_e("""SELECT off FROM (SELECT off, (off * 7919) % 1000 AS seq, max((off * 7919) % 1000) OVER (PARTITION BY event_type ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM e) WHERE m IS NULL OR seq > m"""))
 def idempotent_dedup(spark, d):
-    return view(ordered.idempotent(events(spark, d), kind(), (F.col("offset") * 7919) % 1000, ("offset",)), off="offset")
+    return view(ordered.idempotent(events(spark, d), kind(), (F.col("offset") * 7919) % 1000, ("offset",), stretch=20_000), off="offset")
 
 
 # -- keyed aggregation
