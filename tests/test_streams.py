@@ -58,7 +58,7 @@ def test_folds_on_streams(spark, records, land):
     key, value = F.decode("key", "UTF-8"), F.decode("value", "UTF-8")
     merge = lambda a, b: f"{a}|{b}"
     got = drain(state.running_reduce(stream, value, merge, "string", key, F.col("offset")), "s_reduce")
-    batch = aggregate.running_reduce(df, value, merge, "string", order=("offset",))
+    batch = aggregate.running_reduce_python(df, value, merge, "string", order=("offset",))
     assert sorted((r.order, r.agg) for r in got.collect()) == sorted((r.offset, r.agg) for r in batch.collect()) == [(0, "x"), (1, "y"), (2, "x|z"), (3, "x|z|w"), (4, "y|v")]
     got = drain(state.running_fold(stream, value, lambda a, v: a + [v], ["<"], "array<string>", key, F.col("offset")), "s_fold")
     assert {r.order: r.agg for r in got.collect()}[3] == ["<", "x", "z", "w"]
@@ -289,3 +289,13 @@ def test_stretches_change_nothing(spark, stretch):
         top[k] = max(v, top.get(k, -1))
     got = ordered.idempotent(left, "key", number, ("offset",), stretch=max(1, stretch // MS))
     assert sorted(x.offset for x in got.collect()) == fresh
+
+
+def test_running_reduce_of_long_keys(records):
+    df = records([("k" if i % 5 else "j", str(i)) for i in range(330)])
+    out = aggregate.running_reduce(df, F.decode("value", "UTF-8").cast("long"), lambda a, b: b - a, order=("offset",))
+    want, state = {}, {}
+    for i in range(330):
+        k = "k" if i % 5 else "j"
+        want[i] = state[k] = i - state[k] if k in state else i
+    assert {r.offset: r.agg for r in out.collect()} == want

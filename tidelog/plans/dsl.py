@@ -293,9 +293,12 @@ class Grouped:
     def min(self, value: Expr, stretch: int | None = None) -> Stream:
         return self._running("min", value, stretch)
 
-    def reduce(self, value: Expr, merge: Callable[[object, object], object], result: str = "string") -> Stream:
+    def reduce(self, value: Expr, merge: Callable[[Column, Column], Column]) -> Stream:
+        return self.stream._next(aggregate.running_reduce(self.stream.df, stateless.column(value), merge, self._key(), self.stream.top.order))
+
+    def reduce_python(self, value: Expr, merge: Callable[[object, object], object], result: str) -> Stream:
         """By any Python function of (accumulator, value)."""
-        return self.stream._next(aggregate.running_reduce(self.stream.df, stateless.column(value), merge, result, self._key(), self.stream.top.order))
+        return self.stream._next(aggregate.running_reduce_python(self.stream.df, stateless.column(value), merge, result, self._key(), self.stream.top.order))
 
     def aggregate_changes(self, value: Expr, step: Callable[[object, object], object], start: object, result: str) -> Stream:
         """The same from ``start``."""

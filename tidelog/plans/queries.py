@@ -259,7 +259,7 @@ def aggregate_fold(spark, d):
 
 @query(with_e("SELECT off, string_agg(substr(event_type, 1, 1), '') OVER (PARTITION BY user_id ORDER BY off ROWS UNBOUNDED PRECEDING) AS v FROM e"))
 def running_concat(spark, d):
-    return view(stream(spark, d).group_by_key().reduce(F.substring(kind(), 1, 1), lambda a, b: a + b).df, off="offset", v="agg")
+    return view(stream(spark, d).group_by_key().reduce(F.substring(kind(), 1, 1), lambda a, b: F.concat(a, b)).df, off="offset", v="agg")
 
 
 @query(with_e("SELECT off, CAST(7 + sum(num * num) OVER (PARTITION BY user_id ORDER BY off ROWS UNBOUNDED PRECEDING) AS BIGINT) AS v FROM e"))
