@@ -300,6 +300,20 @@ def ktable_get(spark, d):
     return view(Topology({"events": events(spark, d)}, ("offset",)).table("events").get(b"7"), off="offset", event_type=kind())
 
 
+@query(with_e("SELECT user_id, max(off) AS off FROM e WHERE CAST(user_id AS VARCHAR) >= '2' AND CAST(user_id AS VARCHAR) < '5' GROUP BY user_id"))
+def ktable_range(spark, d):
+    return view(Topology({"events": events(spark, d)}, ("offset",)).table("events").range(b"2", b"5"), user_id=user(), off="offset")
+
+
+@query(with_e("SELECT off, user_id FROM e WHERE event_type = 'click'"))
+def for_each(spark, d):
+    seen = []
+    top = Topology({"events": events(spark, d)})
+    top.stream("events").filter(is_type("click")).for_each(seen.append)
+    top.run()
+    return view(seen[0], off="offset", user_id=user())
+
+
 # -- windows
 @query(with_e(f"SELECT user_id, ts_ns // {HOUR} * {HOUR} AS start_ns, (ts_ns // {HOUR} + 1) * {HOUR} AS end_ns, count(*) AS n FROM e GROUP BY ALL"))
 def tumbling_count(spark, d):
@@ -420,6 +434,12 @@ def asof_join(spark, d):
     return view(joins.asof_join(buys, views, ("offset",)), off="offset", last_view="table_offset")
 
 
+@query(with_e("SELECT off FROM e WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')"))
+def table_anti_join(spark, d):
+    table = Topology({"c": customers(spark, d)}, ("offset",)).table("c")
+    return view(stream(spark, d).join_table(table, "anti").df, off="offset")
+
+
 # -- routing
 FNV = "list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS UBIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
@@ -660,6 +680,26 @@ def registry_deleted_version(spark, d):
     return view(out, subject="subject", version=F.col("version").cast("long"), id=F.col("id").cast("long"), f=F.regexp_extract("schema", r"f(\d)", 1).cast("long"))
 
 
+def with_kind(events: DataFrame, kind: str) -> DataFrame:
+    return events.withColumn("kind", F.lit(kind))
+
+
+@query(with_e("SELECT event_type AS subject, ['NONE', 'BACKWARD', 'FORWARD', 'FULL'][arg_max(num, off) % 4 + 1] AS level FROM e GROUP BY event_type"))
+def registry_levels(spark, d):
+    made = events(spark, d).select("offset", kind().alias("subject"), F.get(F.array(*[F.lit(x) for x in registry.LEVELS]), (number() % 4).cast("int")).alias("level"))
+    return registry.levels(with_kind(made, "config"))
+
+
+@query(with_e(f"SELECT subject, count(*) AS versions, min(off) AS first FROM ({REG.replace('FROM e)', 'FROM e WHERE off >= 500)')}) WHERE subject IN ('click', 'view') GROUP BY subject UNION ALL SELECT subject, count(*), min(off) FROM ({REG}) WHERE subject NOT IN ('click', 'view') GROUP BY subject"))
+def registry_deleted_subject(spark, d):
+    """Two subjects go before offset 500: their versions begin anew."""
+    none = lambda kind: F.lit(None).cast(kind)
+    gone = spark.createDataFrame([("click",), ("view",)], "subject string").select(F.lit(499.5).alias("place"), "subject", F.lit("delete_subject").alias("kind"), none("string").alias("schema"), none("int").alias("id"), none("int").alias("version"), none("string").alias("level"))
+    made = schema_events(spark, d).withColumn("place", F.col("offset").cast("double")).withColumn("id", F.col("offset").cast("int")).drop("offset")
+    both = made.unionByName(gone).withColumn("offset", (F.col("place") * 2).cast("long")).drop("place")
+    return registry.versions(both).groupBy("subject").agg(F.count("*").alias("versions"), F.min("id").cast("long").alias("first"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
