@@ -42,6 +42,7 @@ from tidelog.llm.memory import small_batches, tidy, tidy_group
 from tidelog.llm.scratch import Scratch
 from tidelog.llm.words import chained, coded, hashes, joined, mixed, plain
 
+SPREAD = 64  # documents of a block that travel together
 TOP = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 bits tell n-grams apart; the others would only travel
 SECOND, THIRD = np.uint64(0xA5A5A5A55A5A5A5A), np.uint64(0x1234567FEDCBA987)
 
@@ -105,8 +106,10 @@ def _send(like: Likeness, ranges: int, most: int):
             listed = lambda c: pa.ListArray.from_arrays(edges, flat(table.column(c)).take(own))
             signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
             schema = table_schema(table.schema.field("id").type)
+            # documents travel beside the ranges, some to each
+            beside = ranges + (blocks.home(block, ranges) + np.arange(len(first)) // SPREAD) % ranges
             yield from pa.table(
-                blocks.rows(len(first), range=blocks.home(block, ranges), block=block, idx=pa.array(np.arange(len(first))), ids=listed("id"), marks=listed("mark"), n=pa.array(size[first]), a=signed(sets[:, 0]), b=signed(sets[:, 1]), data=None), schema=schema
+                blocks.rows(len(first), range=pa.array(beside, pa.int32()), block=block, idx=pa.array(np.arange(len(first))), ids=listed("id"), marks=listed("mark"), n=pa.array(size[first]), a=signed(sets[:, 0]), b=signed(sets[:, 1]), data=None), schema=schema
             ).to_batches()
             sent = [(at, blocks.pack(blocks.steps(grams[s:e]), owner[s:e])) for at, s, e in blocks.split(grams, ranges)]
             yield pa.record_batch(
